@@ -9,3 +9,9 @@ def op10_suffix_array_dedup(spark, sf_dir):
     from covalens.llm.suffix_dedup import suffix_dedup
 
     return suffix_dedup(table(spark, sf_dir, "documents"), 50, keep=False)
+
+
+def op5_simhash_near_dedup(spark, sf_dir):
+    from covalens.llm.simhash import simhash_components
+
+    return simhash_components(table(spark, sf_dir, "documents"), shingle=4, bits=4)

@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from covalens.llm import common
 
 FIRST = 16
-SEGMENT = 1 << 20
-_IDX = 22
+SEGMENT = 1 << 18
+_IDX = 20
 
 BLOCK = "kind int, bucket int, grp int, name binary, rank binary, docs binary, base long"
 REPLY = "kind int, grp int, bucket int, bits binary"
@@ -76,44 +76,32 @@ def _slid_min(v: np.ndarray, width: int) -> np.ndarray:
     return v
 
 
-class _Segment:
-    """A stretch of at most SEGMENT starts in the bytes of one group's texts."""
-
-    def __init__(self, data, ends, lo, hi, length):
-        stop = min(len(data), hi + length - 1)
-        padded = np.zeros(stop - lo + FIRST, np.uint8)
-        padded[: stop - lo] = data[lo:stop]
-        self.lo, self.length = lo, length
-        self.first = _names(padded, 0)
-        self.padded = padded
-        n = hi - lo
-        doc = np.searchsorted(ends, np.arange(lo, hi), side="right") if n < 64 else None
-        if doc is None:
-            a, b = np.searchsorted(ends, [lo, hi - 1], side="right")
-            which = np.arange(a, b + 1)
-            lens = np.minimum(ends[which], hi) - np.maximum(np.r_[lo, ends[which[:-1]]], lo)
-            doc = np.repeat(which, lens)
-        starts = np.flatnonzero(np.arange(lo, hi) + length <= ends[doc])
-        self.doc_of = doc
-        if not len(starts):
-            self.r0 = self.r1 = self.doc = np.zeros(0, np.int64)
-            self.rank = self.name = np.zeros(0, np.uint64)
-            return
-        idx = np.arange(len(self.first), dtype=np.uint64)
-        keyed = (self.first >> common.u64(_IDX) << common.u64(_IDX)) | idx
-        least = (_slid_min(keyed, length - FIRST + 1)[starts] & common.u64((1 << _IDX) - 1)).astype(np.int64)
-        new = np.r_[True, (least[1:] != least[:-1]) | (starts[1:] != starts[:-1] + 1)]
-        at = np.flatnonzero(new)
-        self.r0, self.r1 = starts[at], starts[np.r_[at[1:] - 1, len(starts) - 1]]
-        self.rank = self.first[least[at]]
-        ends_named = common.paired(_long_names(self.first, self.r0, length), _long_names(self.first, self.r1, length), 3)
-        self.name = common.paired(ends_named, (self.r1 - self.r0).astype(np.uint64))
-        self.doc = doc[self.r0]
-
-
-def _segments(data, ends, length):
-    for lo in range(0, len(data), SEGMENT):
-        yield _Segment(data, ends, lo, min(lo + SEGMENT, len(data)), length)
+def _segment(data, ends, lo, hi, length):
+    """The runs among the starts lo to hi - 1: first and last start, text, name and 16-byte rank of each."""
+    stop = min(len(data), hi + length - 1)
+    padded = np.zeros(stop - lo + FIRST, np.uint8)
+    padded[: stop - lo] = data[lo:stop]
+    first = _names(padded, 0)
+    n = min(hi - lo, len(first) - (length - FIRST))
+    if n <= 0:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+    whole = np.ones(n, bool)
+    a, b = np.searchsorted(ends, [lo, lo + n + length], side="right")
+    for end in ends[a : b + 1] - lo:
+        whole[max(end - length + 1, 0) : max(end, 0)] = False
+    keyed = first >> common.u64(_IDX)
+    keyed <<= common.u64(_IDX)
+    keyed |= np.arange(len(first), dtype=np.uint64)
+    least = _slid_min(keyed, length - FIRST + 1)[:n]
+    change = least[1:] != least[:-1]
+    r0 = np.flatnonzero(whole & np.r_[True, change | ~whole[:-1]])
+    r1 = np.flatnonzero(whole & np.r_[change | ~whole[1:], True])
+    rank = first[(least[r0] & common.u64((1 << _IDX) - 1)).astype(np.int64)]
+    ends_named = common.paired(_long_names(first, r0, length), _long_names(first, r1, length), 3)
+    name = common.paired(ends_named, (r1 - r0).astype(np.uint64))
+    r0 += lo
+    return r0, r1 + lo, np.searchsorted(ends, r0, side="right"), name, rank
 
 
 def _merged(name: np.ndarray, rank: np.ndarray, keys: np.ndarray):
@@ -129,22 +117,22 @@ def _merged(name: np.ndarray, rank: np.ndarray, keys: np.ndarray):
 
 
 def _dealt(kind, grp, name, rank, least, buckets):
-    """Packed blocks by bucket, and the order that replies refer to."""
-    bucket = (rank % common.u64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    at = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    """Packed blocks by bucket, in the order that replies refer to."""
+    order, at = _dealt_order(rank, buckets)
+    name, rank, least = name[order], (rank[order] >> common.u64(32)).astype(np.uint32), least[order]
     rows = []
     for b in np.flatnonzero(at[1:] > at[:-1]):
-        sel = order[at[b] : at[b + 1]]
-        base, docs = common.small_ints(least[sel])
-        rows.append((kind, int(b), grp, name[sel].tobytes(), (rank[sel] >> common.u64(32)).astype(np.uint32).tobytes(), docs.tobytes(), base))
-    return rows, order, at
+        own = slice(at[b], at[b + 1])
+        base, docs = common.small_ints(least[own])
+        rows.append((kind, int(b), grp, name[own].tobytes(), rank[own].tobytes(), docs.tobytes(), base))
+    return rows
 
 
 def _runs(texts: pa.Table, length: int):
     data, offsets = common.flat(texts["text"])
     keys = texts["key"].to_numpy()
-    segments = list(_segments_light(data, offsets[1:], length))
+    ends = offsets[1:]
+    segments = [_segment(data, ends, lo, min(lo + SEGMENT, len(data)), length) for lo in range(0, len(data), SEGMENT)]
     joined = lambda i, kind: np.concatenate([s[i] for s in segments]) if segments else np.zeros(0, kind)
     r0, r1, doc = joined(0, np.int64), joined(1, np.int64), joined(2, np.int64)
     name, rank = joined(3, np.uint64), joined(4, np.uint64)
@@ -152,11 +140,6 @@ def _runs(texts: pa.Table, length: int):
     return data, offsets, keys, r0, r1, doc, name, rank, least, where
 
 
-def _segments_light(data, ends, length):
-    for s in _segments(data, ends, length):
-        yield s.r0 + s.lo, s.r1 + s.lo, s.doc, s.name, s.rank
-
-
 def _bits(replies: list[tuple[int, bytes]], order, at, n) -> np.ndarray:
     """What was replied about each of n entries: bit 0, a smaller document has it; bit 1, its rank ties with others."""
     out = np.zeros(n, np.uint8)
@@ -227,7 +210,7 @@ def _starts(data, offsets, keys, runs, flags, where, least, length):
 def _first(length, buckets):
     def send(key, texts):
         *_, name, rank, least, _ = _runs(texts, length)
-        return _blocks(_dealt(1, key[0].as_py(), name, rank, least, buckets)[0])
+        return _blocks(_dealt(1, key[0].as_py(), name, rank, least, buckets))
 
     return send
 
@@ -235,7 +218,7 @@ def _first(length, buckets):
 def _state(texts, replies, length, buckets):
     """Everything a group knows after the first sort, and the entries of the second."""
     data, offsets, keys, r0, r1, doc, name, rank, least, where = _runs(texts, length)
-    _, order, at = _dealt_order(rank, buckets)
+    order, at = _dealt_order(rank, buckets)
     said = [(r["bucket"], r["bits"]) for r in replies if r["kind"] == 1]
     flags = _bits(said, order, at, len(name))
     del name, rank
@@ -245,15 +228,15 @@ def _state(texts, replies, length, buckets):
 
 
 def _dealt_order(rank, buckets):
-    bucket = (rank % common.u64(buckets)).astype(np.int64)
+    bucket = (rank % common.u64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
     order = np.argsort(bucket, kind="stable")
-    return bucket, order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
 def _second(length, buckets):
     def send(key, texts, replies):
         *_, lo, hi, first, _ = _state(texts, replies.to_pylist(), length, buckets)
-        return _blocks(_dealt(2, key[0].as_py(), lo, hi, first, buckets)[0])
+        return _blocks(_dealt(2, key[0].as_py(), lo, hi, first, buckets))
 
     return send
 
@@ -262,7 +245,7 @@ def _last(length, buckets):
     def cut(key, texts, replies):
         rows = replies.to_pylist()
         data, offsets, keys, r0, r1, gone, start, owner, lo, hi, first, to = _state(texts, rows, length, buckets)
-        _, order, at = _dealt_order(hi, buckets)
+        order, at = _dealt_order(hi, buckets)
         flags = _bits([(r["bucket"], r["bits"]) for r in rows if r["kind"] == 2], order, at, len(lo))
         hit = start[(keys[owner] > first[to]) | (flags[to] & 1).astype(bool)] if len(start) else start
         edge = np.zeros(len(data) + 1, np.int32)
