@@ -26,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -282,6 +283,8 @@ def suffix_dedup(docs: DataFrame, length: int = 50, keep: bool = True) -> DataFr
         raise ValueError("length must exceed 16")
     groups = common.group_count(docs)
     texts = common.in_groups(docs, groups, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # dealt once, for all three passes; a lost block is made again from the input
+    texts = texts.repartition(max(common.partitions(docs.sparkSession), groups // 4), "grp").sortWithinPartitions("grp").persist(StorageLevel.DISK_ONLY)
     by = lambda df: df.groupBy("grp")
     answered = lambda blocks: blocks.groupBy("kind", "bucket").applyInArrow(_answer, REPLY)
     one = answered(by(texts).applyInArrow(_first(length, groups), BLOCK))
