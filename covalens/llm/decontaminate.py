@@ -15,7 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Items' shingles are broadcast up to this many rows (about 100 bytes each).
+from covalens.llm import common
+
+#: A side is broadcast up to this many rows (about 100 bytes each); it is counted first.
 BROADCAST_ROWS = 200_000
 
 
@@ -37,10 +39,6 @@ def _shingled(df: DataFrame, k: int, *keep: Column) -> DataFrame:
     return hashed.withColumn("__s", _shingle_hashes(F.col("__h"), k)).drop("__h")
 
 
-def _string(k: int) -> Column:
-    return F.concat_ws(" ", F.slice("__w", F.col("__at") + 1, k))
-
-
 def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_common, containment) of each item that a document contains.
 
@@ -52,9 +50,9 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: fl
     item_id and text) count once. Empty tables give no rows.
     """
     own = _shingled(items, k, F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("item_text")).distinct()
-    own = own.select("item_id", "item_text", F.posexplode("__s").alias("__at", "h"), "__w")
+    own = own.select("item_id", "item_text", F.posexplode_outer("__s").alias("__at", "h"), "__w").where("h is not null")
     # the words, not the hash, tell shingles apart
-    own = own.select("item_id", "item_text", "h", _string(k).alias("shingle")).distinct()
+    own = own.select("item_id", "item_text", "h", F.concat_ws(" ", F.slice("__w", F.col("__at") + 1, k)).alias("shingle")).distinct()
     sets = own.groupBy("item_id", "item_text").agg(F.sort_array(F.collect_list(F.struct("h", "shingle"))).alias("all"))
     n = F.size("all")
     need = F.ceil(n * F.lit(threshold) - 1e-9).cast("int")
@@ -63,16 +61,37 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: fl
     flat = flat.select("item_id", "item_text", "n_shingles", "need", F.col("x.h").alias("h"), F.col("x.shingle").alias("shingle"), (F.col("rank") < F.col("sketch")).alias("sketched"))
 
     stream = _shingled(docs, k, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_text"))
-    stream = stream.select("doc_id", "doc_text", "__w", F.posexplode("__s").alias("__at", "h"))
-    if flat.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        met = stream.join(F.broadcast(flat), "h").where(_string(k) == F.col("shingle"))
-    else:
-        # beyond the bound both sides are dealt by hash; a document's repeats go first
-        once = stream.select("doc_id", "doc_text", "h", _string(k).alias("said")).distinct()
-        met = once.join(flat, "h").where("said = shingle")
-    met = met.select("doc_id", "doc_text", "item_id", "item_text", "n_shingles", "need", "shingle", "sketched").distinct()
-    found = met.groupBy("doc_id", "doc_text", "item_id", "item_text", "n_shingles", "need").agg(F.count("*").alias("n_common"), F.max("sketched").alias("candidate"))
-    return found.where(F.col("candidate") & (F.col("n_common") >= F.col("need"))).select("doc_id", "item_id", "n_shingles", "n_common", (F.col("n_common") / F.col("n_shingles")).alias("containment"))
+    # the outer form: Spark infers a filter for the other, and evaluates the hashes again in it
+    stream = stream.select("doc_id", "doc_text", F.explode_outer("__s").alias("h"))
+    hashed = flat.select("item_id", "item_text", "n_shingles", "need", "h", "sketched")
+    if _small(flat):
+        hashed = F.broadcast(hashed)
+    else:  # beyond the bound both sides are dealt by hash, a document's repeats merged before
+        stream = stream.distinct()
+    pair = ["doc_id", "doc_text", "item_id", "item_text", "n_shingles", "need"]
+    met = stream.join(hashed, "h").groupBy(*pair, "h").agg(F.max("sketched").alias("sketched"))
+    met = met.groupBy(*pair).agg(F.count("*").alias("n_common"), F.max("sketched").alias("candidate"))
+    candidates = common.stored(met.where(F.col("candidate") & (F.col("n_common") >= F.col("need"))).drop("n_common", "candidate"), "candidates")
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_text"), "text")
+    keys = candidates.select(F.col("doc_id").alias("__d"), F.col("doc_text").alias("__t")).distinct()
+    keys = F.broadcast(keys) if _small(keys) else keys
+    texts = texts.join(keys, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("doc_text") == F.col("__t")), "left_semi")
+    said = texts.select("doc_id", "doc_text", words(F.col("text")).alias("__w"))
+    n = F.size("__w")
+    said = said.select("doc_id", "doc_text", F.array_distinct(F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.concat_ws(" ", F.slice("__w", i, k)))).otherwise(F.array(F.concat_ws(" ", "__w")))).alias("said"))
+    said = said.select(F.col("doc_id").alias("__d"), F.col("doc_text").alias("__t"), "said").distinct()
+    wanted = sets.select("item_id", "item_text", F.col("all.shingle").alias("wanted"))
+    sure = candidates.join(said, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("doc_text") == F.col("__t")))
+    wanted = wanted.select(F.col("item_id").alias("__i"), F.col("item_text").alias("__it"), "wanted")
+    wanted = F.broadcast(wanted) if _small(flat) else wanted
+    sure = sure.join(wanted, F.col("item_id").eqNullSafe(F.col("__i")) & (F.col("item_text") == F.col("__it")))
+    sure = sure.withColumn("n_common", F.size(F.array_intersect("wanted", "said")).cast("long")).where("n_common >= need")
+    return sure.select("doc_id", "item_id", "n_shingles", "n_common", (F.col("n_common") / F.col("n_shingles")).alias("containment"))
+
+
+def _small(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
