@@ -15,3 +15,15 @@ def op5_simhash_near_dedup(spark, sf_dir):
     from covalens.llm.simhash import simhash_components
 
     return simhash_components(table(spark, sf_dir, "documents"), shingle=4, bits=4)
+
+
+def op1_benchmark_decontamination(spark, sf_dir):
+    from covalens.llm.decontaminate import contained_items
+
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=5, threshold=0.8)
+
+
+def op2_document_fingerprints(spark, sf_dir):
+    from covalens.llm.winnow import fingerprinted
+
+    return fingerprinted(table(spark, sf_dir, "documents"), k=5, w=4)

@@ -80,25 +80,43 @@ def with_next(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("__key", key)
     bounds = docs.agg(F.percentile_approx("__key", [i / blocks for i in range(1, blocks)], 100 * blocks).alias("q")).first().q
     bounds = sorted(set(bounds or []))
-    # the number of bounds below the key, counted by halves
-    edges = F.array(*[F.lit(x) for x in bounds]) if bounds else F.array().cast("array<bigint>")
-    at = F.lit(0)
-    step = 1 << max(len(bounds).bit_length() - 1, 0)
-    docs = docs.withColumn("__e", at) if not bounds else docs.withColumn("__e", F.lit(0))
-    while step and bounds:
-        probe = F.col("__e") + step
-        docs = docs.withColumn("__e", F.when((probe <= len(bounds)) & (F.get(edges, probe - 1) < F.col("__key")), probe).otherwise(F.col("__e")))
+    # how many bounds lie below the key, found by halving
+    docs = docs.withColumn("__block", F.lit(0))
+    step = 1 << len(bounds).bit_length() >> 1
+    while step:
+        below = F.get(F.array(*map(F.lit, bounds)), F.col("__block") + (step - 1)) < F.col("__key")
+        docs = docs.withColumn("__block", F.when((F.col("__block") + step <= len(bounds)) & below, F.col("__block") + step).otherwise(F.col("__block")))
         step >>= 1
-    docs = docs.withColumn("__block", -F.col("__e")).drop("__e")
-    down = [F.col("__key").desc(), F.col("text").desc_nulls_last()]
+    docs = docs.withColumn("__block", -F.col("__block"))
     heads = docs.groupBy("__block").agg(F.max(F.struct("__key", "text")).alias("head"))
-    heads = heads.withColumn("follows", F.lead("head").over(W.orderBy("__block")))
-    first = heads.agg(F.min_by("head", "__block").alias("first"))
-    heads = heads.crossJoin(F.broadcast(first)) if False else heads
-    del first
-    around = heads.withColumn("follows", F.coalesce("follows", F.first("head").over(W.orderBy("__block").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))))
-    around = around.select("__block", F.col("follows.text").alias("__follows"))
-    dealt = docs.repartition(common.partitions(spark), "__block")
-    dealt = dealt.withColumn("__n", F.lead(F.struct("text")).over(W.partitionBy("__block").orderBy(*down)))
-    out = dealt.join(around, "__block")
+    every = W.orderBy("__block")
+    follows = F.coalesce(F.lead("head").over(every), F.first("head").over(every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    heads = heads.select("__block", follows.getField("text").alias("__follows"))
+    own = W.partitionBy("__block").orderBy(F.desc("__key"), F.desc_nulls_last("text"))
+    dealt = docs.repartition(common.partitions(spark), "__block").withColumn("__n", F.lead(F.struct("text")).over(own))
+    out = dealt.join(heads, "__block")
     return out.withColumn("next_text", F.when(F.col("__n").isNull(), F.col("__follows")).otherwise(F.col("__n.text"))).drop("__block", "__key", "__n", "__follows")
+
+
+def edited(text: Column, following: Column) -> Column:
+    """The text with its last third of code points replaced by the first as many, or all, of the following one."""
+    n = F.char_length(text)
+    cut = F.floor(n / 3).cast("int")
+    return F.concat(F.substring(text, F.lit(1), n - cut), F.substring(following, F.lit(1), cut))
+
+
+def fingerprinted(docs: DataFrame, k: int = 5, w: int = 4) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row.
+
+    Takes doc_id and text; other columns are ignored. Null texts are empty.
+    fingerprint is the SHA-256 of the chosen hashes and positions, so equal
+    texts (up to case and the width of white space) have equal ones; texts
+    without words share one, and are alike to degree 1. The edited text is
+    described at ``edited``; the next row at ``with_next``. An empty table gives no rows.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    df = with_next(own).withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    df = df.withColumns({"n_chars": F.char_length("text").cast("long"), "edited_sha256": F.sha2("edited", 256)})
+    for text, out in (("text", "f"), ("edited", "fe"), ("next_text", "fn")):
+        df = winnowed(df, text, out, k, w)
+    return df.select("doc_id", "n_chars", "edited_sha256", digest("f").alias("fingerprint"), digest("fe").alias("edited_fingerprint"), likeness(F.col("f.hash"), F.col("fe.hash")).alias("near_edited"), likeness(F.col("f.hash"), F.col("fn.hash")).alias("near_next"))
