@@ -27,3 +27,27 @@ def op2_document_fingerprints(spark, sf_dir):
     from covalens.llm.winnow import fingerprinted
 
     return fingerprinted(table(spark, sf_dir, "documents"), k=5, w=4)
+
+
+def op7_quality_classifier(spark, sf_dir):
+    from covalens.llm.quality import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3, bound=8000)
+
+
+def op8_language_id(spark, sf_dir):
+    from covalens.llm.langid import identified
+
+    return identified(table(spark, sf_dir, "documents"))
+
+
+def op9_best_fit_packing(spark, sf_dir):
+    from covalens.llm.packing import SIZES, packed
+
+    return packed(table(spark, sf_dir, "documents"), SIZES)
+
+
+def op4_preference_formatting(spark, sf_dir):
+    from covalens.llm.preference import preference_pairs
+
+    return preference_pairs(table(spark, sf_dir, "conversations"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from covalens.llm import queries
+from covalens.llm import preference, queries
 
 QUERIES = {name: f for name, f in vars(queries).items() if name.startswith("op")}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_preference_formatting": preference.ORACLE}
