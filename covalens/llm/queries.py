@@ -51,3 +51,9 @@ def op4_preference_formatting(spark, sf_dir):
     from covalens.llm.preference import preference_pairs
 
     return preference_pairs(table(spark, sf_dir, "conversations"))
+
+
+def op3_warc_index_merge(spark, sf_dir):
+    from covalens.llm.warc import archived
+
+    return archived(table(spark, sf_dir, "pages"))
