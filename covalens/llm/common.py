@@ -12,7 +12,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one Python group holds at most on average.
@@ -129,3 +130,41 @@ def from_small(base: int, value, n: int) -> np.ndarray:
     if not n:
         return np.zeros(0, np.int64)
     return np.frombuffer(raw, np.int64 if len(raw) == 8 * n else np.uint32).astype(np.int64) + np.int64(base)
+
+
+def dealt_texts(docs: DataFrame, group: Column, *columns) -> DataFrame:
+    """(grp, blob): the rows of each group, packed and compressed, dealt by group and kept on disk.
+
+    A blob holds what one batch of the input has for one group; ``texts_of``
+    opens a group's blobs. A block lost with its executor is made again.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(group.cast("int").alias("grp"), *columns)
+
+    def pack(batches):
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            part = batch.column("grp").to_numpy(zero_copy_only=False)
+            order = np.argsort(part, kind="stable")
+            own = pa.Table.from_batches([batch]).drop_columns(["grp"]).take(pa.array(order))
+            at = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]]) if len(part) else []
+            blobs = []
+            for a, b in zip(at, np.r_[at[1:], len(part)], strict=True) if len(part) else ():
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema) as out:
+                    out.write_table(own.slice(a, b - a).combine_chunks())
+                blobs.append(squeeze(sink.getvalue().to_pybytes()))
+            yield pa.record_batch({"grp": pa.array(part[order][at] if len(part) else [], pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
+    packed = rows.mapInArrow(pack, "grp int, blob binary")
+    return packed.repartition(partitions(spark), "grp").sortWithinPartitions("grp").persist(StorageLevel.DISK_ONLY)
+
+
+def texts_of(blobs: pa.Table) -> pa.Table:
+    """The rows that ``dealt_texts`` packed for one group, in no certain order."""
+    import zstandard
+
+    tables = [pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(x.as_py())).read_all() for x in blobs.column("blob")]
+    return pa.concat_tables(tables).combine_chunks()

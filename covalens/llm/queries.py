@@ -57,3 +57,9 @@ def op3_warc_index_merge(spark, sf_dir):
     from covalens.llm.warc import archived
 
     return archived(table(spark, sf_dir, "pages"))
+
+
+def op6_lm_scoring(spark, sf_dir):
+    from covalens.llm.interpolation import scored
+
+    return scored(table(spark, sf_dir, "documents"), order=2)
