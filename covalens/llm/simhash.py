@@ -169,12 +169,12 @@ def _probes(masks: list[int]):
 
     def run(batches):
         for batch in batches:
-            rep, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "fp"))
+            fp = batch.column("fp").to_numpy(zero_copy_only=False)
             step = max(1, 200_000 // len(own))
             for at in range(0, len(fp), step):
-                f, r = fp[at : at + step], rep[at : at + step]
+                f = fp[at : at + step]
                 name = common.paired(np.repeat(own[None, :], len(f), 0).ravel(), (f.view(np.uint64)[:, None] & own[None, :]).ravel())
-                yield pa.record_batch({"probe": pa.array(name.view(np.int64)), "fp": pa.array(np.repeat(f, len(own))), "rep": pa.array(np.repeat(r, len(own)))})
+                yield pa.record_batch({"probe": pa.array(name.view(np.int64)), "fp": pa.array(np.repeat(f, len(own)))})
 
     return run
 
@@ -191,39 +191,60 @@ def _near(key: np.ndarray, fp: np.ndarray, side: np.ndarray, bits: int):
         d += 1
 
 
+def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Component labels (each the smallest row) after links (a, b) are added to those of ``root``."""
+    while True:
+        ra, rb = root[a], root[b]
+        lo, hi = np.minimum(ra, rb), np.maximum(ra, rb)
+        open_ = lo != hi
+        if not open_.any():
+            return root
+        np.minimum.at(root, hi[open_], lo[open_])
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+
+
 def _roots(n: int, links) -> np.ndarray:
     """The smallest row of each row's component; links are folded in as they come."""
     root = np.arange(n)
     for a, b in links:
-        while True:
-            ra, rb = root[a], root[b]
-            lo, hi = np.minimum(ra, rb), np.maximum(ra, rb)
-            open_ = lo != hi
-            if not open_.any():
-                break
-            np.minimum.at(root, hi[open_], lo[open_])
-            while True:
-                up = root[root]
-                if (up == root).all():
-                    break
-                root = up
+        root = _joined(root, a, b)
     return root
 
 
-def _linked(bits: int):
-    def edges(key, fp, side, rep):
-        order = np.argsort(rep, kind="stable")
-        order = order[np.argsort(key[order], kind="stable")]
-        key, fp, side, rep = key[order], fp[order].view(np.uint64), side[order], rep[order]
-        root = _roots(len(key), _near(key, fp, side, bits))
+def _linked(bits: int, closest: bool):
+    def edges(key, fp, side):
+        order = np.lexsort((fp, key))
+        key, fp, side = key[order], fp[order].view(np.uint64), side[order]
+        pairs = list(_near(key, fp, side, bits)) if closest else _near(key, fp, side, bits)
+        root = _roots(len(key), pairs)
         off = np.flatnonzero(root != np.arange(len(key)))
-        return pa.record_batch({"a": pa.array(rep[off]), "b": pa.array(rep[root[off]])})
+        a, b = off, root[off]
+        if closest and pairs:  # links themselves, not only what they connect: each row's closest one, and a forest's
+            best = np.full(len(key), _FAR)
+            a, b = [], []
+            forest = np.arange(len(key))
+            for x, y in pairs:
+                d = np.bitwise_count(fp[x] ^ fp[y]).astype(np.int64) << 40
+                np.minimum.at(best, x, d | y)
+                np.minimum.at(best, y, d | x)
+                new = forest[x] != forest[y]
+                a.append(x[new])
+                b.append(y[new])
+                forest = _joined(forest, x[new], y[new])
+            has = np.flatnonzero(best < _FAR)
+            a, b = np.concatenate([*a, has]), np.concatenate([*b, best[has] & ((1 << 40) - 1)])
+        f = fp.view(np.int64)
+        return pa.record_batch({"a": pa.array(np.maximum(f[a], f[b])), "b": pa.array(np.minimum(f[a], f[b]))})
 
     def run(batches):
         """Rows come sorted by probe; a probe's rows may span batches."""
         held = None
         for batch in batches:
-            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("probe", "fp", "side", "rep")]
+            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("probe", "fp", "side")]
             if held is not None:
                 own = [np.concatenate(x) for x in zip(held, own, strict=True)]
             last = int(np.searchsorted(own[0], own[0][-1])) if len(own[0]) else 0
@@ -236,29 +257,32 @@ def _linked(bits: int):
     return run
 
 
-def near_edges(classes: DataFrame, bits: int, chosen: list[tuple[list[int], int]]) -> DataFrame:
-    """Edges (a, b) between rows (rep, fp) that connect all whose fingerprints differ in at most ``bits`` places.
+_FAR = np.int64(1 << 60)
+
+
+def near_edges(classes: DataFrame, bits: int, chosen: list[tuple[list[int], int]], closest: bool = False) -> DataFrame:
+    """Edges (a, b) between fingerprints fp that connect all that differ in at most ``bits`` places.
 
-    Of the links within a probe value only a spanning forest is made. A value
-    with more than BLOCK rows is dealt in blocks: each pair of blocks is a task
-    of its own, so that no value meets in one place.
+    Of the links within a probe value only a spanning forest is made and, with
+    ``closest``, each fingerprint's closest link; all edges are links then. A
+    value with more than BLOCK fingerprints is dealt in blocks: each pair of
+    blocks is a task of its own, so that no value meets in one place.
     """
     spark = classes.sparkSession
-    masks = masks_of(chosen)
-    probes = classes.select("rep", "fp").mapInArrow(_probes(masks), "probe long, fp long, rep long")
+    probes = classes.select("fp").mapInArrow(_probes(masks_of(chosen)), "probe long, fp long")
     hot = probes.groupBy("probe").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
     hot = common.stored(hot.select("probe", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "hot")
-    n_hot = hot.count()
-    probes = probes.withColumn("side", F.lit(0))
+    n_hot = hot.limit(10_001).count()
+    probes = probes.withColumn("side", F.lit(0).cast("byte"))
     if n_hot:
         split = probes.join(F.broadcast(hot) if n_hot <= 10_000 else hot, "probe", "left")
-        own = F.pmod(F.xxhash64("rep", F.lit(5)), F.col("blocks")).cast("int")
-        parts = F.when(F.col("blocks").isNull(), F.array(F.struct(F.col("probe"), F.lit(0).alias("side")))).otherwise(
-            F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.xxhash64("probe", F.least(x, own), F.greatest(x, own)).alias("probe"), F.when(x == own, 0).when(x < own, 1).otherwise(2).alias("side")))
-        )
-        probes = split.withColumn("part", F.explode(parts)).select("part.probe", "fp", "rep", "part.side")
+        own = F.pmod(F.xxhash64("fp", F.lit(5)), F.col("blocks")).cast("int")
+        block = lambda x: F.struct(F.xxhash64("probe", F.least(x, own), F.greatest(x, own)).alias("probe"), F.when(x == own, 0).when(x < own, 1).otherwise(2).cast("byte").alias("side"))
+        whole = F.array(F.struct("probe", "side"))
+        parts = F.when(F.col("blocks").isNull(), whole).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), block))
+        probes = split.withColumn("part", F.explode(parts)).select("part.probe", "fp", "part.side")
     dealt = probes.repartition(common.partitions(spark), "probe").sortWithinPartitions("probe")
-    return dealt.mapInArrow(_linked(bits), "a long, b long").distinct()
+    return dealt.mapInArrow(_linked(bits, closest), "a long, b long").distinct()
 
 
 def simhash_components(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
@@ -278,10 +302,83 @@ def simhash_components(docs: DataFrame, shingle: int = 4, bits: int = 4) -> Data
     n, both = bit_counts(classes)
     if not n:
         return fps.select("doc_id", F.lit("").alias("fingerprint"), F.col("doc_id").alias("component_id"))
-    nodes = classes.select(F.col("fp"), F.col("fp").alias("rep"))
-    comp = components(near_edges(nodes, bits, plan(n, both, bits)))
+    comp = components(near_edges(classes, bits, plan(n, both, bits)))
     joined = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = joined.groupBy("root").agg(F.min("least").alias("component"))
     of = common.stored(joined.select("fp", "root").join(least, "root").select("fp", "component"), "components")
     out = fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.nullif("component", F.lit(none)).alias("component_id"))
     return out
+
+
+def _sets(shingle: int):
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                own = [np.unique(shingle_hashes(words_of(x), shingle)) for x in batch.column("text")[at : at + 256].to_pylist()]
+                yield pa.record_batch({"node": batch.column("node")[at : at + 256], "own": common.binaries(own)})
+
+    return run
+
+
+def _alike(similarity: float):
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = common.unpacked(x, np.uint64), common.unpacked(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                every = len(x) + len(y) - both
+                keep.append(not every or both >= similarity * every)
+            yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(keep))
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 12, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, group_id) of each doc_id: groups of texts linked by word-shingle likeness.
+
+    Candidates are texts whose fingerprints differ in at most ``bits`` places;
+    a candidate is a link if the Jaccard likeness of the shingle sets, computed
+    from the whole texts, is ``similarity`` at least. group_id is the smallest
+    doc_id. Exact copies are always linked, null and wordless texts with each
+    other; a null doc_id is in no group and has no row. Within a probe value the candidates are
+    each text's closest one and a spanning forest, not all pairs; the many probe
+    values of a text offer it many candidates. Rows that repeat a doc_id are
+    one document, of the first text by order. Other columns are ignored.
+    """
+    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    copy = F.struct(F.xxhash64(F.coalesce("text", F.lit(""))).alias("x"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("y"))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, min(256, batch.num_rows - at))
+                fp = _fingerprints([shingle_hashes(words_of(x), shingle) for x in part.column("text").to_pylist()]).view(np.int64)
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "x": part.column("x"), "y": part.column("y"), "fp": pa.array(fp)})
+
+    marked = own.withColumn("c", copy).select("doc_id", "text", "c.x", "c.y").mapInArrow(run, "doc_id long, x long, y long, fp long")
+    marked = common.stored(marked, "marked")
+    texts = common.stored(marked.groupBy("x", "y", "fp").agg(F.min("doc_id").alias("node")), "texts")
+    classes = common.stored(texts.groupBy("fp").agg(F.min("node").alias("node")), "classes")
+    n, both = bit_counts(classes)
+    if not n:
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("doc_id").cast("long").alias("group_id")).limit(0)
+    near = near_edges(classes, bits, plan(n, both, bits), closest=True)
+    of = classes.select(F.col("fp"), "node")
+    near = near.join(of.withColumnsRenamed({"fp": "a", "node": "na"}), "a").join(of.withColumnsRenamed({"fp": "b", "node": "nb"}), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    same = texts.join(of.withColumnRenamed("node", "least"), "fp").where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    edges = common.stored(near.unionByName(same), "candidates")
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    sets = own.withColumnRenamed("doc_id", "node").join(ends, "node").mapInArrow(_sets(shingle), "node long, own binary")
+    sets = common.stored(sets.dropDuplicates(["node"]), "sets")
+    sides = edges.join(sets.withColumnsRenamed({"node": "a", "own": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "own": "y"}), "b")
+    sure = sides.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long")
+    comp = components(sure)
+    groups = texts.join(comp, "node", "left").select("x", "y", "fp", F.coalesce("root", "node").alias("group_id"))
+    return marked.join(groups, ["x", "y", "fp"]).select("doc_id", "group_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, bits: int = 12, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, all columns as they were, without those whose doc_id is not the smallest of its group."""
+    gone = near_duplicates(docs, shingle, bits, similarity).where("doc_id <> group_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs.doc_id.cast("long") == F.col("__gone"), "left_anti")

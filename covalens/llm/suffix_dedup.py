@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from covalens.llm import common
 
@@ -264,15 +265,17 @@ def _last(length, buckets):
             sha.append(hashlib.sha256(rest).hexdigest())
             kept.append(rest)
         ids = texts["doc_id"]
-        return pa.table({"doc_id": ids.cast(pa.int64()), "n_bytes": pa.array(np.diff(offsets), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "kept": pa.array(kept, pa.binary())})
+        rest = {"rest": texts["rest"]} if "rest" in texts.column_names else {}
+        return pa.table({"doc_id": ids.cast(pa.int64()), "n_bytes": pa.array(np.diff(offsets), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "kept": pa.array(kept, pa.binary()), **rest})
 
     return cut
 
 
-def suffix_dedup(docs: DataFrame, length: int = 50, keep: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 50, keep: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes each byte covered by a ``length``-byte string that also starts in a smaller document.
 
-    Takes doc_id and text; other columns are ignored. Returns doc_id, n_bytes,
+    Takes doc_id and text; other columns are ignored, but for those of
+    ``carry``, which come back in a struct named rest. Returns doc_id, n_bytes,
     n_removed, n_spans, kept_sha256 and, with ``keep``, kept: the remaining
     bytes (binary, as a cut may fall inside a character). One row for each input
     row. Null and empty texts have nothing to remove; texts shorter than
@@ -282,7 +285,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, keep: bool = True) -> DataFr
     if not FIRST < length:
         raise ValueError("length must exceed 16")
     groups = common.group_count(docs)
-    texts = common.in_groups(docs, groups, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = common.in_groups(docs, groups, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*carry).alias("rest")] if carry else []))
     # dealt once, for all three passes; a lost block is made again from the input
     texts = texts.repartition(max(common.partitions(docs.sparkSession), groups // 4), "grp").sortWithinPartitions("grp").persist(StorageLevel.DISK_ONLY)
     by = lambda df: df.groupBy("grp")
@@ -291,6 +294,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, keep: bool = True) -> DataFr
     one = common.stored(one, "runs")
     two = answered(by(texts).cogroup(by(one)).applyInArrow(_second(length, groups), BLOCK))
     two = common.stored(two, "starts")
-    columns = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    columns = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    columns = T.StructType([*columns.fields, *([texts.schema["rest"]] if carry else [])])
     out = by(texts).cogroup(by(one.unionByName(two))).applyInArrow(_last(length, groups), columns)
     return out if keep else out.drop("kept")
