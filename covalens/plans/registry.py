@@ -1,7 +1,8 @@
-"""Queries over the driver's tables, each with the SQL that gives the same rows."""
+"""The queries of the library itself, each with the SQL that gives the same rows where there is one."""
 
 from __future__ import annotations
 
+from covalens.plans.queries import ORACLES, QUERIES
+
 FLAGSHIP = "interval_coverage"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
