@@ -498,3 +498,13 @@ def local_alignment(spark, sf_dir):
     side = lambda name: items.select(F.col("item_id").alias(name), F.substring("text", 1, 120).alias(f"{name}_text"))
     pairs = near.join(side("query"), "query").join(side("target"), "target")
     return align.aligned(pairs, "query_text", "target_text").select("query", "target", "score", "top", "bottom")
+
+
+@query()
+def session_stream(spark, sf_dir):
+    """Sessions of each user's events, half an hour apart, as a stream; those that the watermark has passed."""
+    from covalens.session import work_path
+    from covalens.streaming import windows
+
+    stream = windows.sessions(windows.event_stream(spark, sf_dir), "1 hour", "30 minutes", "user_id")
+    return windows.finished(stream, work_path(spark, "sessions"))

@@ -26,3 +26,12 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     for key, value in settings.items():
         builder = builder.config(key, value)
     return ship(builder.getOrCreate())
+
+
+def work_path(spark: SparkSession, tag: str) -> str:
+    """A new folder in the shared place that spark.checkpoint.dir names; a local one only where that is unset."""
+    import tempfile
+    import uuid
+
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    return f"{where.rstrip('/')}/covalens/{uuid.uuid4().hex}/{tag}"
