@@ -81,12 +81,12 @@ def with_next(docs: DataFrame) -> DataFrame:
     bounds = docs.agg(F.percentile_approx("__key", [i / blocks for i in range(1, blocks)], 100 * blocks).alias("q")).first().q
     bounds = sorted(set(bounds or []))
     # how many bounds lie below the key, found by halving
-    docs = docs.withColumn("__block", F.lit(0))
-    step = 1 << len(bounds).bit_length() >> 1
-    while step:
-        below = F.get(F.array(*map(F.lit, bounds)), F.col("__block") + (step - 1)) < F.col("__key")
-        docs = docs.withColumn("__block", F.when((F.col("__block") + step <= len(bounds)) & below, F.col("__block") + step).otherwise(F.col("__block")))
-        step >>= 1
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    below = F.lit(0)
+    if bounds:
+        table = F.array(*map(F.lit, bounds))
+        below = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & (F.get(table, at + (step - 1)) < F.col("__key")), at + step).otherwise(at))
+    docs = docs.withColumn("__block", below)
     docs = docs.withColumn("__block", -F.col("__block"))
     heads = docs.groupBy("__block").agg(F.max(F.struct("__key", "text")).alias("head"))
     every = W.orderBy("__block")
