@@ -6,6 +6,7 @@ Tables between steps go to the folder that the cluster names in
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -40,9 +41,15 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: its lineage ends there."""
+    """``df`` written to the shared folder and read back: its lineage ends there.
+
+    Shuffle files of finished steps go once the driver's JVM has collected what
+    refers to them, so it is asked to.
+    """
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -62,16 +69,6 @@ def group_count(texts: DataFrame, column: str = "text", size: int = GROUP_BYTES)
     return max(partitions(texts.sparkSession), math.ceil(total / size))
 
 
-def in_groups(docs: DataFrame, groups: int, *columns) -> DataFrame:
-    """The given columns and ``grp``, a number of 0 to ``groups`` - 1 drawn from doc_id.
-
-    A null doc_id counts as the largest possible one. Rows that repeat a doc_id
-    are told apart by ``rid``, which only serves to keep them all.
-    """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    return docs.select(F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("grp"), key.alias("key"), *columns)
-
-
 def flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column, one text after another, and the n + 1 offsets. Null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -26,7 +26,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +35,8 @@ from covalens.llm import common
 FIRST = 16
 SEGMENT = 1 << 18
 _IDX = 20
+#: The second sort is done in so many parts by range of ranks, each with that share of its exchange's disk.
+PARTS = 2
 
 BLOCK = "kind int, bucket int, grp int, name binary, rank binary, docs binary, base long"
 REPLY = "kind int, grp int, bucket int, bits binary"
@@ -130,7 +131,8 @@ def _dealt(kind, grp, name, rank, least, buckets):
     return rows
 
 
-def _runs(texts: pa.Table, length: int):
+def _runs(blobs: pa.Table, length: int):
+    texts = common.texts_of(blobs)
     data, offsets = common.flat(texts["text"])
     keys = texts["key"].to_numpy()
     ends = offsets[1:]
@@ -139,7 +141,7 @@ def _runs(texts: pa.Table, length: int):
     r0, r1, doc = joined(0, np.int64), joined(1, np.int64), joined(2, np.int64)
     name, rank = joined(3, np.uint64), joined(4, np.uint64)
     name, rank, least, where = _merged(name, rank, keys[doc] if len(doc) else np.zeros(0, np.int64))
-    return data, offsets, keys, r0, r1, doc, name, rank, least, where
+    return texts, data, offsets, keys, r0, r1, doc, name, rank, least, where
 
 
 def _bits(replies: list[tuple[int, bytes]], order, at, n) -> np.ndarray:
@@ -210,23 +212,23 @@ def _starts(data, offsets, keys, runs, flags, where, least, length):
 
 
 def _first(length, buckets):
-    def send(key, texts):
-        *_, name, rank, least, _ = _runs(texts, length)
+    def send(key, blobs):
+        *_, name, rank, least, _ = _runs(blobs, length)
         return _blocks(_dealt(1, key[0].as_py(), name, rank, least, buckets))
 
     return send
 
 
-def _state(texts, replies, length, buckets):
+def _state(blobs, replies, length, buckets):
     """Everything a group knows after the first sort, and the entries of the second."""
-    data, offsets, keys, r0, r1, doc, name, rank, least, where = _runs(texts, length)
+    texts, data, offsets, keys, r0, r1, doc, name, rank, least, where = _runs(blobs, length)
     order, at = _dealt_order(rank, buckets)
     said = [(r["bucket"], r["bits"]) for r in replies if r["kind"] == 1]
     flags = _bits(said, order, at, len(name))
     del name, rank
     start, owner, lo, hi, gone = _starts(data, offsets, keys, (r0, r1, doc), flags, where, least, length)
     lo, hi, first, to = _merged(lo, hi, keys[owner] if len(owner) else np.zeros(0, np.int64))
-    return data, offsets, keys, r0, r1, gone, start, owner, lo, hi, first, to
+    return texts, data, offsets, keys, r0, r1, gone, start, owner, lo, hi, first, to
 
 
 def _dealt_order(rank, buckets):
@@ -235,18 +237,18 @@ def _dealt_order(rank, buckets):
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def _second(length, buckets):
-    def send(key, texts, replies):
-        *_, lo, hi, first, _ = _state(texts, replies.to_pylist(), length, buckets)
-        return _blocks(_dealt(2, key[0].as_py(), lo, hi, first, buckets))
+def _second(length, buckets, part):
+    def send(key, blobs, replies):
+        *_, lo, hi, first, _ = _state(blobs, replies.to_pylist(), length, buckets)
+        return _blocks([x for x in _dealt(2, key[0].as_py(), lo, hi, first, buckets) if x[1] % PARTS == part])
 
     return send
 
 
 def _last(length, buckets):
-    def cut(key, texts, replies):
+    def cut(key, blobs, replies):
         rows = replies.to_pylist()
-        data, offsets, keys, r0, r1, gone, start, owner, lo, hi, first, to = _state(texts, rows, length, buckets)
+        texts, data, offsets, keys, r0, r1, gone, start, owner, lo, hi, first, to = _state(blobs, rows, length, buckets)
         order, at = _dealt_order(hi, buckets)
         flags = _bits([(r["bucket"], r["bits"]) for r in rows if r["kind"] == 2], order, at, len(lo))
         hit = start[(keys[owner] > first[to]) | (flags[to] & 1).astype(bool)] if len(start) else start
@@ -285,16 +287,18 @@ def suffix_dedup(docs: DataFrame, length: int = 50, keep: bool = True, carry: tu
     if not FIRST < length:
         raise ValueError("length must exceed 16")
     groups = common.group_count(docs)
-    texts = common.in_groups(docs, groups, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*carry).alias("rest")] if carry else []))
-    # dealt once, for all three passes; a lost block is made again from the input
-    texts = texts.repartition(max(common.partitions(docs.sparkSession), groups // 4), "grp").sortWithinPartitions("grp").persist(StorageLevel.DISK_ONLY)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    group = F.pmod(F.xxhash64(key), F.lit(groups))
+    rest = F.struct(*carry).alias("rest")
+    # dealt once, for all passes
+    blobs = common.dealt_texts(docs, group, key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([rest] if carry else []))
     by = lambda df: df.groupBy("grp")
-    answered = lambda blocks: blocks.groupBy("kind", "bucket").applyInArrow(_answer, REPLY)
-    one = answered(by(texts).applyInArrow(_first(length, groups), BLOCK))
-    one = common.stored(one, "runs")
-    two = answered(by(texts).cogroup(by(one)).applyInArrow(_second(length, groups), BLOCK))
-    two = common.stored(two, "starts")
+    answered = lambda blocks, tag: common.stored(blocks.groupBy("kind", "bucket").applyInArrow(_answer, REPLY), tag)
+    one = answered(by(blobs).applyInArrow(_first(length, groups), BLOCK), "runs")
+    replies = one
+    for part in range(PARTS):
+        replies = replies.unionByName(answered(by(blobs).cogroup(by(one)).applyInArrow(_second(length, groups, part), BLOCK), f"starts-{part}"))
     columns = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    columns = T.StructType([*columns.fields, *([texts.schema["rest"]] if carry else [])])
-    out = by(texts).cogroup(by(one.unionByName(two))).applyInArrow(_last(length, groups), columns)
+    columns = T.StructType([*columns.fields, *(docs.select(rest).schema.fields if carry else [])])
+    out = by(blobs).cogroup(by(replies)).applyInArrow(_last(length, groups), columns)
     return out if keep else out.drop("kept")
