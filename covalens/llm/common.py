@@ -115,18 +115,20 @@ def unpacked(value, dtype) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), dtype) if hasattr(value, "as_buffer") else np.frombuffer(value, dtype)
 
 
-def small_ints(values: np.ndarray) -> tuple[int, np.ndarray]:
-    """A base and the values less the base, in 4 bytes each where they fit."""
+def small_ints(values: np.ndarray) -> tuple[int, bytes]:
+    """A base and the values less the base, in as few bytes each as hold the largest."""
     base = int(values.min()) if len(values) else 0
-    wide = len(values) and int(values.max()) - base >= 1 << 32
-    return base, (values - np.int64(base)).astype(np.int64 if wide else np.uint32)
+    width = max(1, -(-(int(values.max()) - base).bit_length() // 8)) if len(values) else 1
+    apart = (values.astype(np.uint64) - u64(base)).astype("<u8")
+    return base, np.ascontiguousarray(apart.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
-def from_small(base: int, value, n: int) -> np.ndarray:
-    raw = value.as_py() if hasattr(value, "as_py") else value
+def from_small(base: int, raw: bytes, n: int) -> np.ndarray:
     if not n:
         return np.zeros(0, np.int64)
-    return np.frombuffer(raw, np.int64 if len(raw) == 8 * n else np.uint32).astype(np.int64) + np.int64(base)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : len(raw) // n] = np.frombuffer(raw, np.uint8).reshape(n, -1)
+    return (out.view("<u8").ravel() + u64(base)).view(np.int64)
 
 
 def dealt_texts(docs: DataFrame, group: Column, *columns) -> DataFrame:

@@ -36,7 +36,9 @@ FIRST = 16
 SEGMENT = 1 << 18
 _IDX = 20
 #: The second sort is done in so many parts by range of ranks, each with that share of its exchange's disk.
-PARTS = 2
+PARTS = 3
+#: Bytes of text in one group: a task holds some hundred times as many numbers as it has repeated positions.
+GROUP = 3 << 19
 
 BLOCK = "kind int, bucket int, grp int, name binary, rank binary, docs binary, base long"
 REPLY = "kind int, grp int, bucket int, bits binary"
@@ -122,12 +124,14 @@ def _merged(name: np.ndarray, rank: np.ndarray, keys: np.ndarray):
 def _dealt(kind, grp, name, rank, least, buckets):
     """Packed blocks by bucket, in the order that replies refer to."""
     order, at = _dealt_order(rank, buckets)
-    name, rank, least = name[order], (rank[order] >> common.u64(32)).astype(np.uint32), least[order]
+    # a rank's low part is the bucket; of the rest 32 bits tell ties of runs, and 16 with the name starts
+    width = np.uint32 if kind == 1 else np.uint16
+    name, rank, least = name[order], (rank[order] >> common.u64(32)).astype(width), least[order]
     rows = []
     for b in np.flatnonzero(at[1:] > at[:-1]):
         own = slice(at[b], at[b + 1])
         base, docs = common.small_ints(least[own])
-        rows.append((kind, int(b), grp, name[own].tobytes(), rank[own].tobytes(), docs.tobytes(), base))
+        rows.append((kind, int(b), grp, name[own].tobytes(), rank[own].tobytes(), docs, base))
     return rows
 
 
@@ -161,7 +165,7 @@ def _answer(key, blocks):
     rows = blocks.to_pylist()
     names = [np.frombuffer(r["name"], np.uint64) for r in rows]
     name = np.concatenate(names)
-    rank = np.concatenate([np.frombuffer(r["rank"], np.uint32) for r in rows])
+    rank = np.concatenate([np.frombuffer(r["rank"], np.uint32 if kind == 1 else np.uint16) for r in rows])
     docs = np.concatenate([common.from_small(r["base"], r["docs"], len(x)) for r, x in zip(rows, names, strict=True)])
     order = np.lexsort((name, rank))
     n, k = name[order], rank[order]
@@ -219,7 +223,7 @@ def _first(length, buckets):
     return send
 
 
-def _state(blobs, replies, length, buckets):
+def _state(blobs, replies, length, buckets, part=None):
     """Everything a group knows after the first sort, and the entries of the second."""
     texts, data, offsets, keys, r0, r1, doc, name, rank, least, where = _runs(blobs, length)
     order, at = _dealt_order(rank, buckets)
@@ -227,6 +231,9 @@ def _state(blobs, replies, length, buckets):
     flags = _bits(said, order, at, len(name))
     del name, rank
     start, owner, lo, hi, gone = _starts(data, offsets, keys, (r0, r1, doc), flags, where, least, length)
+    if part is not None:
+        mine = hi % common.u64(buckets) % common.u64(PARTS) == common.u64(part)
+        start, owner, lo, hi = start[mine], owner[mine], lo[mine], hi[mine]
     lo, hi, first, to = _merged(lo, hi, keys[owner] if len(owner) else np.zeros(0, np.int64))
     return texts, data, offsets, keys, r0, r1, gone, start, owner, lo, hi, first, to
 
@@ -239,8 +246,8 @@ def _dealt_order(rank, buckets):
 
 def _second(length, buckets, part):
     def send(key, blobs, replies):
-        *_, lo, hi, first, _ = _state(blobs, replies.to_pylist(), length, buckets)
-        return _blocks([x for x in _dealt(2, key[0].as_py(), lo, hi, first, buckets) if x[1] % PARTS == part])
+        *_, lo, hi, first, _ = _state(blobs, replies.to_pylist(), length, buckets, part)
+        return _blocks(_dealt(2, key[0].as_py(), lo, hi, first, buckets))
 
     return send
 
@@ -286,7 +293,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, keep: bool = True, carry: tu
     """
     if not FIRST < length:
         raise ValueError("length must exceed 16")
-    groups = common.group_count(docs)
+    groups = common.group_count(docs, size=GROUP)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     group = F.pmod(F.xxhash64(key), F.lit(groups))
     rest = F.struct(*carry).alias("rest")
