@@ -9,6 +9,7 @@ from __future__ import annotations
 import gc
 import math
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -40,16 +41,20 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/covalens/{uuid.uuid4().hex}/{tag}"
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
+def stored(df: DataFrame, tag: str, release: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends there.
 
     Shuffle files of finished steps go once the driver's JVM has collected what
-    refers to them, so it is asked to.
+    refers to them; with ``release``, for large steps, it is asked to, as soon as
+    the events that still hold the plan have been handled.
     """
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    if release:
+        time.sleep(1)
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -115,20 +120,28 @@ def unpacked(value, dtype) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), dtype) if hasattr(value, "as_buffer") else np.frombuffer(value, dtype)
 
 
+def few_bytes(values: np.ndarray) -> bytes:
+    """Integers from 0 on, in as few bytes each as hold the largest."""
+    wide = np.ascontiguousarray(values.astype("<u8"))
+    width = max(1, -(-int(wide.max()).bit_length() // 8)) if len(wide) else 1
+    return np.ascontiguousarray(wide.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def from_few(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, : len(raw) // n] = np.frombuffer(raw, np.uint8).reshape(n, -1)
+    return out.view("<u8").ravel()
+
+
 def small_ints(values: np.ndarray) -> tuple[int, bytes]:
-    """A base and the values less the base, in as few bytes each as hold the largest."""
+    """The least value, and the values less it in few bytes."""
     base = int(values.min()) if len(values) else 0
-    width = max(1, -(-(int(values.max()) - base).bit_length() // 8)) if len(values) else 1
-    apart = (values.astype(np.uint64) - u64(base)).astype("<u8")
-    return base, np.ascontiguousarray(apart.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    return base, few_bytes(values.astype(np.uint64) - u64(base))
 
 
 def from_small(base: int, raw: bytes, n: int) -> np.ndarray:
-    if not n:
-        return np.zeros(0, np.int64)
-    out = np.zeros((n, 8), np.uint8)
-    out[:, : len(raw) // n] = np.frombuffer(raw, np.uint8).reshape(n, -1)
-    return (out.view("<u8").ravel() + u64(base)).view(np.int64)
+    return (from_few(raw, n) + u64(base)).view(np.int64)
 
 
 def dealt_texts(docs: DataFrame, group: Column, *columns) -> DataFrame:

@@ -109,7 +109,7 @@ class _Group:
             for b in np.flatnonzero(cut[1:] > cut[:-1]):
                 own = slice(cut[b], cut[b + 1])
                 part = counts[1][own]
-                rows.append((int(b), k, grp, keys[own].tobytes() if k == 1 else _six(keys[own]), len(part), counts[0][own].tobytes(), part.tobytes() if part.any() else b""))
+                rows.append((int(b), k, grp, keys[own].tobytes() if k == 1 else _six(keys[own]), len(part), common.few_bytes(counts[0][own]), common.few_bytes(part) if part.any() else b""))
         return rows
 
     def counts(self, replies) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -120,9 +120,9 @@ class _Group:
             k = r["ord"] - 1
             if k >= 0:
                 sel = self.sorted[k][self.cut[k][r["bucket"]] : self.cut[k][r["bucket"] + 1]]
-                total[k][sel] = np.frombuffer(r["train"], np.uint32)
+                total[k][sel] = common.from_few(r["train"], len(sel))
                 if r["part"]:
-                    part[k][sel] = np.frombuffer(r["part"], np.uint32)
+                    part[k][sel] = common.from_few(r["part"], len(sel))
         return [x[w] for x, w in zip(total, self.where, strict=True)], [x[w] for x, w in zip(part, self.where, strict=True)]
 
 
@@ -145,11 +145,10 @@ def _add():
         rows = blocks.to_pylist()
         keys = [np.frombuffer(r["keys"], np.uint64) if k == 1 else _from_six(r["keys"]) for r in rows]
         unique, where = np.unique(np.concatenate(keys), return_inverse=True)
-        train = np.bincount(where, np.concatenate([np.frombuffer(r["train"], np.uint32) for r in rows]), len(unique)).astype(np.uint32)
-        zero = lambda n: np.zeros(n, np.uint32)
-        part = np.bincount(where, np.concatenate([np.frombuffer(r["part"], np.uint32) if r["part"] else zero(r["n"]) for r in rows]), len(unique)).astype(np.uint32)
+        train = np.bincount(where, np.concatenate([common.from_few(r["train"], r["n"]) for r in rows]), len(unique)).astype(np.uint32)
+        part = np.bincount(where, np.concatenate([common.from_few(r["part"] or bytes(r["n"]), r["n"]) for r in rows]), len(unique)).astype(np.uint32)
         ends = np.cumsum([len(x) for x in keys])
-        out = [(r["grp"], k, bucket, r["n"], train[where[b - r["n"] : b]].tobytes(), part[where[b - r["n"] : b]].tobytes() if r["grp"] < 0 else b"") for r, b in zip(rows, ends, strict=True)]
+        out = [(r["grp"], k, bucket, r["n"], common.few_bytes(train[where[b - r["n"] : b]]), common.few_bytes(part[where[b - r["n"] : b]]) if r["grp"] < 0 else b"") for r, b in zip(rows, ends, strict=True)]
         if k == 1:  # the range's tokens, held-out tokens and types
             out.append((_STATS, 0, bucket, 3, np.array([train.sum(dtype=np.uint64), part.sum(dtype=np.uint64), (train > 0).sum()], np.uint64).tobytes(), b""))
         names, kinds = ("grp", "ord", "bucket", "n", "train", "part"), (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
@@ -268,7 +267,7 @@ def scored(docs: DataFrame, order: int = 2, modulus: int = 7, held: int = 2, fol
     group = F.when(role == 2, -1 - F.pmod(deal, F.lit(few))).otherwise(F.pmod(deal, F.lit(size)))
     blobs = common.dealt_texts(docs, group, F.col("doc_id").cast("long").alias("doc_id"), (rest == held).alias("held_out"), role.alias("role"), F.col("text").cast("string").alias("text"))
     sent = blobs.groupBy("grp").applyInArrow(_send(order, size), BLOCK)
-    replies = common.stored(sent.groupBy("bucket", "ord").applyInArrow(_add(), REPLY), "replies")
+    replies = common.stored(sent.groupBy("bucket", "ord").applyInArrow(_add(), REPLY), "replies", release=True)
     sums = np.zeros(3, np.int64)
     for r in replies.where(F.col("grp") == _STATS).select("train").collect():
         sums += np.frombuffer(bytes(r.train), np.uint64).astype(np.int64)
