@@ -300,7 +300,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, keep: bool = True, carry: tu
     # dealt once, for all passes
     blobs = common.dealt_texts(docs, group, key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([rest] if carry else []))
     by = lambda df: df.groupBy("grp")
-    answered = lambda blocks, tag: common.stored(blocks.groupBy("kind", "bucket").applyInArrow(_answer, REPLY), tag)
+    answered = lambda blocks, tag: common.stored(blocks.groupBy("kind", "bucket").applyInArrow(_answer, REPLY), tag, release=True)
     one = answered(by(blobs).applyInArrow(_first(length, groups), BLOCK), "runs")
     replies = one
     for part in range(PARTS):
