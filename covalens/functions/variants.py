@@ -108,3 +108,38 @@ def confidence(kind: Column, novel_starts: Column, alt_reads: Column, passes: Co
 def split_compound(pos: Column, ref: Column, alt: Column) -> Column:
     """A substitution of n bases as n structs(pos, ref, alt)."""
     return F.transform(F.sequence(F.lit(0), F.length(ref) - 1), lambda i: F.struct((pos + i).alias("pos"), F.substring(ref, i + 1, F.lit(1)).alias("ref"), F.substring(alt, i + 1, F.lit(1)).alias("alt")))
+
+
+def mutation_class(control: Column, test: Column) -> Column:
+    """Code of a control and a test genotype (numbers like 0/1; ``.`` or ``./.`` if missing).
+
+    The tens tell the control: none 0, reference 10, one alt 20, two equal alts
+    30, two different 40. The ones tell the test and which alts it shares:
+
+    ====================  ==  ==  ======  ======  =============
+    test                  0   10  20      30      40
+    ====================  ==  ==  ======  ======  =============
+    missing               1   11  21      31      41
+    reference             2   12  22      32      42
+    one alt               3   13  23, 26  33, 38  43, 44, 49
+    two equal alts        4   14  24, 27  34, 37  45, 46, 50
+    two different alts    5   15  25, 28  35, 36  47, 51, 48
+    ====================  ==  ==  ======  ======  =============
+
+    Of two codes the first is for a shared alt; of three, the first is for the
+    control's first alt, the second for its other one; of the last three, for
+    equal genotypes, one shared alt, and none. 99 is the same two alts in another
+    order. Texts that are no genotype give null.
+    """
+    pair = lambda g: F.transform(F.split(g, "[/|]"), lambda x: x.try_cast("int"))
+    c, t = pair(control), pair(test)
+    c0, c1, t0, t1 = F.get(c, F.lit(0)), F.get(c, F.lit(1)), F.get(t, F.lit(0)), F.get(t, F.lit(1))
+    none = lambda g: g.isin(".", "./.", ".|.")
+    tens = F.when(none(control), 0).when((c0 == 0) & (c1 == 0), 10).when((c0 == 0) | (c1 == 0), 20).when(c0 == c1, 30).when(c0 != c1, 40)
+    kind = F.when(none(test), 1).when((t0 == 0) & (t1 == 0), 2).when((t0 == 0) | (t1 == 0), 3).when(t0 == t1, 4).when(t0 != t1, 5)
+    alt = F.greatest(t0, t1)
+    held = lambda x: ((x == c0) | (x == c1)) & (x != 0)
+    shared = held(t0).cast("int") + held(t1).cast("int")
+    by_two = F.when(kind == 3, F.when(alt == c0, 43).when(alt == c1, 44).otherwise(49)).when(kind == 4, F.when(t0 == c0, 45).when(t0 == c1, 46).otherwise(50)).when(control == test, 47).when(shared == 0, 48).when(shared == 1, 51).otherwise(99)
+    by_one = F.when(shared > 0, tens + kind).otherwise(F.when(tens == 20, 23 + kind).otherwise(41 - kind))
+    return F.when((kind <= 2) | (tens <= 10), tens + kind).when(tens == 40, by_two).otherwise(by_one).cast("int")

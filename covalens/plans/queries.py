@@ -508,3 +508,61 @@ def session_stream(spark, sf_dir):
 
     stream = windows.sessions(windows.event_stream(spark, sf_dir), "1 hour", "30 minutes", "user_id")
     return windows.finished(stream, work_path(spark, "sessions"))
+
+
+# --- structural evidence and metrics
+
+
+@query("""select l_suppkey % 5 as contig, cast((l_partkey * 7 - 1) // 500 * 500 + 1 as bigint) as start_pos, least(cast((l_partkey * 7 - 1) // 500 * 500 + 500 as bigint), 10000) as end_pos,
+    count(*) filter (l_returnflag = 'A') as a, count(*) filter (l_returnflag = 'N') as n, count(*) filter (l_returnflag = 'R') as r from lineitem where l_partkey between 1 and 1428 group by 1, 2, 3""")
+def copy_number_counts(spark, sf_dir):
+    from covalens.operators import structural
+
+    df = table(spark, sf_dir, "lineitem").where("l_partkey between 1 and 1428").select((F.col("l_suppkey") % 5).alias("contig"), (F.col("l_partkey") * 7).alias("at"), "l_returnflag")
+    lengths = spark.range(5).select(F.col("id").alias("contig"), F.lit(10_000).cast("long").alias("length"))
+    out = structural.copy_number_windows(df, "contig", "at", "l_returnflag", 500, lengths, ["A", "N", "R"])
+    return out.withColumnsRenamed({"start": "start_pos", "end": "end_pos", "A": "a", "N": "n", "R": "r"})
+
+
+@query("""with p as (select event_type as contig, cast(floor(epoch(ts) / 60) as bigint) as q, sum(value) > 60 as high, count(*) filter (value < 3) > 0 as low from events group by 1, 2),
+    w as (select contig, unnest([q // 10 * 10 - 20, q // 10 * 10 - 10, q // 10 * 10]) as s, high, low from p),
+    c as (select contig, s from w group by 1, 2 having greatest(count(*) filter (high), count(*) filter (low)) >= 2),
+    f as (select contig, s, case when s <= lag(s) over (partition by contig order by s) + 30 then 0 else 1 end as n from c), g as (select contig, s, sum(n) over (partition by contig order by s) as r from f)
+    select contig, min(s) as start_pos, max(s) + 29 as end_pos from g group by contig, r""")
+def metric_regions(spark, sf_dir):
+    from covalens.operators import structural
+
+    p = reads(spark, sf_dir).groupBy("contig", "start").agg((F.sum("value") > 60).alias("high"), (F.sum((F.col("value") < 3).cast("int")) > 0).alias("low"))
+    w = structural.metric_windows(p, "contig", "start", ["high", "low"])
+    return structural.error_regions(w, ["high", "low"], 2).withColumnsRenamed({"start": "start_pos", "end": "end_pos"})
+
+
+@query("""with h as (select o_orderpriority as k, o_orderstatus as s, count(*) filter (o_custkey % 2 = 0) as a, count(*) filter (o_custkey % 2 = 1) as b from orders group by 1, 2), t as (select k, sum(a) as x, sum(b) as y, count(*) as n from h group by 1)
+    select k, round(sum(pow(sqrt(y / x) * a - sqrt(x / y) * b, 2) / (a + b)), 6) as chi2, any_value(n) - 1 as df from h join t using (k) group by 1""")
+def histogram_chi_square(spark, sf_dir):
+    from covalens.operators import structural
+
+    o = table(spark, sf_dir, "orders")
+    h = o.groupBy(F.col("o_orderpriority").alias("k"), "o_orderstatus").agg(F.sum((F.col("o_custkey") % 2 == 0).cast("int")).alias("a"), F.sum((F.col("o_custkey") % 2 == 1).cast("int")).alias("b"))
+    return structural.chi_square(h, "a", "b", "k").withColumn("chi2", F.round("chi2", 6))
+
+
+@query("""with s as (select o_orderkey as id, o_orderpriority as ca, date_diff('day', date '1992-01-01', cast(o_orderdate as date)) as a, o_orderstatus as cb, cast(floor(o_totalprice / 100) as bigint) as b from orders)
+    select x.id as clip, y.id as cluster from s x join s y on x.ca = y.ca and x.cb = y.cb and abs(x.a - y.a) <= 3 and abs(x.b - y.b) <= 3 where x.id % 4 = 0 and y.id % 4 = 1""")
+def evidence_join(spark, sf_dir):
+    from covalens.operators import structural
+
+    day = F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01").cast("date")).cast("long")
+    s = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("contig_a"), day.alias("a"), F.col("o_orderstatus").alias("contig_b"), F.floor(F.col("o_totalprice") / 100).alias("b"))
+    return structural.evidence(s.where("id % 4 = 0"), s.where("id % 4 = 1"), 3).select("clip", "cluster")
+
+
+@query("""with g as (select l_returnflag as f, cast(l_linenumber % 4 as varchar) || '/' || cast(l_partkey % 4 as varchar) as c, cast(l_suppkey % 3 as varchar) || '/' || cast(l_orderkey % 3 as varchar) as t, l_linenumber % 4 as c0, l_partkey % 4 as c1, l_suppkey % 3 as t0, l_orderkey % 3 as t1 from lineitem)
+    select f, case when c0 = 0 and c1 = 0 then case when t0 = 0 and t1 = 0 then 12 when t0 = 0 or t1 = 0 then 13 when t0 = t1 then 14 else 15 end
+      when c0 = 0 or c1 = 0 then case when t0 = 0 and t1 = 0 then 22 when t0 = 0 or t1 = 0 then case when greatest(t0, t1) = greatest(c0, c1) then 23 else 26 end when t0 = t1 then case when t0 = greatest(c0, c1) then 24 else 27 end when greatest(c0, c1) in (t0, t1) then 25 else 28 end
+      when c0 = c1 then case when t0 = 0 and t1 = 0 then 32 when t0 = 0 or t1 = 0 then case when greatest(t0, t1) = c0 then 33 else 38 end when t0 = t1 then case when t0 = c0 then 34 else 37 end when c0 in (t0, t1) then 35 else 36 end
+      else case when t0 = 0 and t1 = 0 then 42 when t0 = 0 or t1 = 0 then case when greatest(t0, t1) = c0 then 43 when greatest(t0, t1) = c1 then 44 else 49 end when t0 = t1 then case when t0 = c0 then 45 when t0 = c1 then 46 else 50 end
+        when c = t then 47 when t0 not in (c0, c1) and t1 not in (c0, c1) then 48 when t0 in (c0, c1) and t1 in (c0, c1) then 99 else 51 end end as code, count(*) as n from g group by 1, 2""")
+def ccm_code(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("f"), F.concat_ws("/", F.col("l_linenumber") % 4, F.col("l_partkey") % 4).alias("c"), F.concat_ws("/", F.col("l_suppkey") % 3, F.col("l_orderkey") % 3).alias("t"))
+    return df.groupBy("f", variants.mutation_class(F.col("c"), F.col("t")).alias("code")).agg(F.count("*").alias("n"))
