@@ -1,17 +1,17 @@
 """Suffix-array dedup: prefix doubling over byte positions, for strings of a fixed length.
 
 A position's rank stands for the string that starts there. Ranks of 16 bytes
-are paired at offset 16 and, for the default threshold of 50, at offset 18, so
-ranks of 50 bytes need two doublings. Ranks are names (pair hashes of 96 bits and
+are paired at growing offsets: 8 for ranks of 24 bytes, 16 for 32 and, for the
+default threshold of 50, 18 for ranks of 50. Ranks are names (pair hashes of 96 bits and
 more) that each task can derive, and the distributed sorts decide which
 positions are still tied:
 
-1. Every 50-byte string is represented by its least 16-byte rank (leftmost on
+1. Every 50-byte string is represented by its least 24-byte rank (leftmost on
    ties), so equal strings choose the same place. Successive starts with the
-   same representative form a run; a run goes out once, as (16-byte rank, rank
+   same representative form a run; a run goes out once, as (24-byte rank, rank
    pair of its two ends, smallest doc). Sorted by rank, runs that are unique
    are done, equal runs are resolved at once, and only starts of different
-   runs that tie on 16 bytes go on.
+   runs that tie on 24 bytes go on.
 2. Those starts go out with their 50-byte ranks. Sorted again, each learns
    whether a smaller document has it.
 
@@ -71,6 +71,11 @@ def _long_names(first: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return name(at, length)
 
 
+def _anchor(length: int) -> int:
+    """Bytes of the ranks that represent strings: longer ones tie less often, but make more runs."""
+    return FIRST + FIRST // 2 if length >= 3 * FIRST else FIRST
+
+
 def _slid_min(v: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` successive values."""
     have = 1
@@ -82,12 +87,14 @@ def _slid_min(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def _segment(data, ends, lo, hi, length):
-    """The runs among the starts lo to hi - 1: first and last start, text, name and 16-byte rank of each."""
+    """The runs among the starts lo to hi - 1: first and last start, text, name and representative's rank of each."""
     stop = min(len(data), hi + length - 1)
     padded = np.zeros(stop - lo + FIRST, np.uint8)
     padded[: stop - lo] = data[lo:stop]
     first = _names(padded, 0)
-    n = min(hi - lo, len(first) - (length - FIRST))
+    wide = _anchor(length)
+    anchor = first if wide == FIRST else common.paired(first[: FIRST - wide], first[wide - FIRST :], wide)
+    n = min(hi - lo, len(anchor) - (length - wide))
     if n <= 0:
         none = np.zeros(0, np.int64)
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
@@ -95,14 +102,14 @@ def _segment(data, ends, lo, hi, length):
     a, b = np.searchsorted(ends, [lo, lo + n + length], side="right")
     for end in ends[a : b + 1] - lo:
         whole[max(end - length + 1, 0) : max(end, 0)] = False
-    keyed = first >> common.u64(_IDX)
+    keyed = anchor >> common.u64(_IDX)
     keyed <<= common.u64(_IDX)
-    keyed |= np.arange(len(first), dtype=np.uint64)
-    least = _slid_min(keyed, length - FIRST + 1)[:n]
+    keyed |= np.arange(len(anchor), dtype=np.uint64)
+    least = _slid_min(keyed, length - wide + 1)[:n]
     change = least[1:] != least[:-1]
     r0 = np.flatnonzero(whole & np.r_[True, change | ~whole[:-1]])
     r1 = np.flatnonzero(whole & np.r_[change | ~whole[1:], True])
-    rank = first[(least[r0] & common.u64((1 << _IDX) - 1)).astype(np.int64)]
+    rank = anchor[(least[r0] & common.u64((1 << _IDX) - 1)).astype(np.int64)]
     ends_named = common.paired(_long_names(first, r0, length), _long_names(first, r1, length), 3)
     name = common.paired(ends_named, (r1 - r0).astype(np.uint64))
     r0 += lo
@@ -294,6 +301,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, keep: bool = True, carry: tu
     if not FIRST < length:
         raise ValueError("length must exceed 16")
     groups = common.group_count(docs, size=GROUP)
+    ranges = max(common.partitions(docs.sparkSession), groups // 4)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     group = F.pmod(F.xxhash64(key), F.lit(groups))
     rest = F.struct(*carry).alias("rest")
@@ -301,11 +309,11 @@ def suffix_dedup(docs: DataFrame, length: int = 50, keep: bool = True, carry: tu
     blobs = common.dealt_texts(docs, group, key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([rest] if carry else []))
     by = lambda df: df.groupBy("grp")
     answered = lambda blocks, tag: common.stored(blocks.groupBy("kind", "bucket").applyInArrow(_answer, REPLY), tag, release=True)
-    one = answered(by(blobs).applyInArrow(_first(length, groups), BLOCK), "runs")
+    one = answered(by(blobs).applyInArrow(_first(length, ranges), BLOCK), "runs")
     replies = one
     for part in range(PARTS):
-        replies = replies.unionByName(answered(by(blobs).cogroup(by(one)).applyInArrow(_second(length, groups, part), BLOCK), f"starts-{part}"))
+        replies = replies.unionByName(answered(by(blobs).cogroup(by(one)).applyInArrow(_second(length, ranges, part), BLOCK), f"starts-{part}"))
     columns = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     columns = T.StructType([*columns.fields, *(docs.select(rest).schema.fields if carry else [])])
-    out = by(blobs).cogroup(by(replies)).applyInArrow(_last(length, groups), columns)
+    out = by(blobs).cogroup(by(replies)).applyInArrow(_last(length, ranges), columns)
     return out if keep else out.drop("kept")
