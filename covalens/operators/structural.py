@@ -105,3 +105,53 @@ def indel_filters(counts: DataFrame) -> DataFrame:
     ]
     found = F.concat_ws(";", *[F.when(holds, name) for name, holds in rules])
     return counts.withColumn("filters", F.when(found == "", "PASS").otherwise(found))
+
+
+def pair_class(lower: int, upper: int) -> Column:
+    """Class of a read's pair, of three letters; needs flag, rname, rnext, pos, pnext, tlen and tags.
+
+    Z** for duplicates. With one alignment (NH 1): D** if the mate is unmapped,
+    C** if it lies on another contig, E** if the read fails quality checks, else
+    strands (A opposite, B equal), direction and insert size (A within the
+    bounds, B below, C above). Opposite strands face inward (A) or outward (B);
+    on equal strands the first read leads (A) or the second (B); X if both start
+    at one place. With another NH or none only AAA is kept, all else is Z**.
+    """
+    bit = lambda b: F.col("flag").bitwiseAND(F.lit(b)) != 0
+    alignments = F.col("tags")["NH"].try_cast("int")
+    one = F.coalesce(alignments == 1, F.lit(False))
+    left, right, reverse = F.col("pos") < F.col("pnext"), F.col("pos") > F.col("pnext"), bit(16)
+    toward, away = (left & ~reverse) | (right & reverse), (right & ~reverse) | (left & reverse)
+    apart = bit(16) != bit(32)
+    leads = (bit(64) & toward) | (bit(128) & away)
+    follows = (bit(128) & toward) | (bit(64) & away)
+    facing = F.when(apart, F.when(away, "B").when(toward, "A").otherwise("X")).otherwise(F.when(follows, "B").when(leads, "A").otherwise("X"))
+    size = F.abs("tlen")
+    full = F.concat(F.when(apart, "A").otherwise("B"), facing, F.when(size < lower, "B").when(size > upper, "C").otherwise("A"))
+    elsewhere = (F.col("rnext") != "=") & (F.col("rnext") != F.col("rname"))
+    single = F.when(bit(8), "D**").when(F.coalesce(elsewhere, F.lit(False)), "C**").when(bit(512), "E**").otherwise(full)
+    return F.when(bit(1024), "Z**").when(one, single).when(full == "AAA", "AAA").otherwise("Z**")
+
+
+def pair_overlap() -> Column:
+    """Positions that a read shares with its mate: for tlen above 0 and a mate that starts before the read ends, else 0."""
+    last = F.least(F.col("end"), F.col("pos") + F.col("tlen") - 1)
+    return F.when((F.col("tlen") > 0) & (F.col("pnext") <= F.col("end")), last - F.greatest("pos", "pnext") + 1).otherwise(0)
+
+
+def psl_score(hits: DataFrame) -> DataFrame:
+    """Adds score: matches and half the repeat matches, less mismatches and gaps."""
+    return hits.withColumn("score", F.col("matches") + F.floor(F.col("rep_matches") / 2) - F.col("mismatches") - F.col("q_gaps") - F.col("t_gaps"))
+
+
+def sampled_pairs(reads: DataFrame, share: float, seed: int = 0) -> DataFrame:
+    """All reads of a share of the names; which ones follows from the name and the seed, so mates stay together."""
+    draw = F.pmod(F.xxhash64("qname", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    return reads.where(draw < share)
+
+
+def lifted(points: DataFrame, chain: DataFrame) -> DataFrame:
+    """Points (contig, pos) moved by blocks (contig, start, end, to_contig, to_start); a point in no block gets nulls."""
+    hit = overlap_join(Spans(points.withColumn("__e", F.col("pos")), "contig", "pos", "__e"), Spans(chain))
+    moved = hit.select(F.col("a.contig").alias("__c"), F.col("a.pos").alias("__p"), F.col("b.to_contig").alias("to_contig"), (F.col("b.to_start") + F.col("a.pos") - F.col("b.start")).alias("to_pos")).groupBy("__c", "__p").agg(F.min(F.struct("to_contig", "to_pos")).alias("__t"))
+    return points.join(moved, (F.col("contig") == F.col("__c")) & (F.col("pos") == F.col("__p")), "left").select(*points.columns, F.col("__t.to_contig").alias("to_contig"), F.col("__t.to_pos").alias("to_pos"))
