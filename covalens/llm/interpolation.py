@@ -22,6 +22,8 @@ from covalens.llm import common
 
 BUCKETS = 24
 ROUNDS = 12
+#: The counting is done in so many parts by range, each with that share of its exchange's disk.
+PARTS = 2
 _END, _BEGIN = common.u64(0xE7037ED1A0B428DB), common.u64(0x8EBC6AF09C88C6E3)
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
@@ -101,15 +103,17 @@ class _Group:
             self.sorted.append(deal)
             self.cut.append(np.searchsorted(bucket[deal], np.arange(buckets + 1)))
 
-    def blocks(self, grp: int):
+    def blocks(self, grp: int, part: int):
+        """The n-grams of the ranges of one part."""
         rows = []
         for k, (keys, where, deal, cut) in enumerate(zip(self.keys, self.where, self.sorted, self.cut, strict=True), 1):
             counts = [np.bincount(where, self.role >= least, len(keys)).astype(np.uint32)[deal] for least in (1, 2)]
             keys = keys[deal]
-            for b in np.flatnonzero(cut[1:] > cut[:-1]):
+            ranges = np.flatnonzero(cut[1:] > cut[:-1])
+            for b in ranges[ranges % PARTS == part]:
                 own = slice(cut[b], cut[b + 1])
-                part = counts[1][own]
-                rows.append((int(b), k, grp, keys[own].tobytes() if k == 1 else _six(keys[own]), len(part), common.few_bytes(counts[0][own]), common.few_bytes(part) if part.any() else b""))
+                held = counts[1][own]
+                rows.append((int(b), k, grp, keys[own].tobytes() if k == 1 else _six(keys[own]), len(held), common.few_bytes(counts[0][own]), common.few_bytes(held) if held.any() else b""))
         return rows
 
     def counts(self, replies) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -126,12 +130,12 @@ class _Group:
         return [x[w] for x, w in zip(total, self.where, strict=True)], [x[w] for x, w in zip(part, self.where, strict=True)]
 
 
-def _send(order, buckets):
+def _send(order, buckets, part):
     names = ("bucket", "ord", "grp", "keys", "n", "train", "part")
     kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
 
     def send(key, blobs):
-        rows = _Group(blobs, order, buckets).blocks(key[0].as_py())
+        rows = _Group(blobs, order, buckets).blocks(key[0].as_py(), part)
         return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, kinds, strict=True))})
 
     return send
@@ -266,8 +270,11 @@ def scored(docs: DataFrame, order: int = 2, modulus: int = 7, held: int = 2, fol
     few = max(1, -(-size // modulus))
     group = F.when(role == 2, -1 - F.pmod(deal, F.lit(few))).otherwise(F.pmod(deal, F.lit(size)))
     blobs = common.dealt_texts(docs, group, F.col("doc_id").cast("long").alias("doc_id"), (rest == held).alias("held_out"), role.alias("role"), F.col("text").cast("string").alias("text"))
-    sent = blobs.groupBy("grp").applyInArrow(_send(order, size), BLOCK)
-    replies = common.stored(sent.groupBy("bucket", "ord").applyInArrow(_add(), REPLY), "replies", release=True)
+    replies = None
+    for part in range(PARTS):
+        sent = blobs.groupBy("grp").applyInArrow(_send(order, size, part), BLOCK)
+        added = common.stored(sent.groupBy("bucket", "ord").applyInArrow(_add(), REPLY), f"replies-{part}", release=True)
+        replies = added if replies is None else replies.unionByName(added)
     sums = np.zeros(3, np.int64)
     for r in replies.where(F.col("grp") == _STATS).select("train").collect():
         sums += np.frombuffer(bytes(r.train), np.uint64).astype(np.int64)
