@@ -6,6 +6,8 @@ Tables between steps go to the folder that the cluster names in
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import math
 import tempfile
@@ -90,6 +92,13 @@ def flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at - at[0]
 
 
+def give_back() -> None:
+    """Returns freed memory of a Python worker to the system; workers live on from group to group."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def u64(x: int) -> np.uint64:
     return np.uint64(x & 0xFFFFFFFFFFFFFFFF)
 

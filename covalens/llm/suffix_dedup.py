@@ -38,7 +38,7 @@ _IDX = 20
 #: The second sort is done in so many parts by range of ranks, each with that share of its exchange's disk.
 PARTS = 3
 #: Bytes of text in one group: a task holds some hundred times as many numbers as it has repeated positions.
-GROUP = 3 << 19
+GROUP = 1 << 20
 
 BLOCK = "kind int, bucket int, grp int, name binary, rank binary, docs binary, base long"
 REPLY = "kind int, grp int, bucket int, bits binary"
@@ -143,6 +143,7 @@ def _dealt(kind, grp, name, rank, least, buckets):
 
 
 def _runs(blobs: pa.Table, length: int):
+    common.give_back()  # what the group before has left
     texts = common.texts_of(blobs)
     data, offsets = common.flat(texts["text"])
     keys = texts["key"].to_numpy()
