@@ -310,6 +310,20 @@ def simhash_components(docs: DataFrame, shingle: int = 4, bits: int = 4) -> Data
     return out
 
 
+def _alike(similarity: float):
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = common.unpacked(x, np.uint64), common.unpacked(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                every = len(x) + len(y) - both
+                keep.append(not every or both >= similarity * every)
+            yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(keep))
+
+    return run
+
+
 def _sets(shingle: int):
     def run(batches):
         for batch in batches:
@@ -320,30 +334,178 @@ def _sets(shingle: int):
     return run
 
 
-def _alike(similarity: float):
+def _parities(shingle: int):
+    """Adds the size of each text's set and, in about as many bits, whether an odd number of its shingles fall on each."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part, sizes, parity = batch.slice(at, min(256, batch.num_rows - at)), [], []
+                for text in part.column("text").to_pylist():
+                    own = np.unique(shingle_hashes(words_of(text), shingle))
+                    bits = min(1 << 20, max(256, 1 << len(own).bit_length()))
+                    odd = np.bincount((own >> np.uint64(17) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+                    parity.append(np.packbits(odd.astype(np.uint8)))
+                    sizes.append(len(own))
+                yield pa.record_batch({**{c: part.column(c) for c in ("node", "comp", "text")}, "size": pa.array(sizes, pa.int32()), "parity": common.binaries(parity)})
+
+    return run
+
+
+def _possible(similarity: float):
+    """Pairs whose parities, folded to the fewer bits of the two, don't differ in more bits than alike sets of their sizes can."""
+
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = common.unpacked(x, np.uint64), common.unpacked(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                every = len(x) + len(y) - both
-                keep.append(not every or both >= similarity * every)
-            yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(keep))
+            for m, n, x, y in zip(*(batch.column(c).to_pylist() for c in ("m", "n", "x", "y")), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                while len(x) != len(y):
+                    x, y = (x, y) if len(x) > len(y) else (y, x)
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                keep.append(int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) <= (m + n) * (1 - similarity) / (1 + similarity) + 1e-6)
+            yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def _prefixes(shingle: int, similarity: float, common_hashes: np.ndarray, weight: np.ndarray):
+    """Entries of the shingles of which two alike sets share one: the first of each set in one order for all, rare ones first."""
+
+    def run(batches):
+        for batch in batches:
+            nodes, comps = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "comp"))
+            for at in range(0, batch.num_rows, 256):
+                tokens, parity, sizes = [], [], []
+                for text in batch.column("text")[at : at + 256].to_pylist():
+                    own = np.unique(shingle_hashes(words_of(text), shingle))
+                    w = np.zeros(len(own), np.int64)
+                    if len(common_hashes):
+                        place = np.minimum(np.searchsorted(common_hashes, own), len(common_hashes) - 1)
+                        w = np.where(common_hashes[place] == own, weight[place], 0)
+                    tokens.append(own[np.lexsort((own, w))][: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1])  # none of an empty set
+                    odd = np.bincount((own >> np.uint64(17) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+                    parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                    sizes.append(len(own))
+                n = np.array([len(t) for t in tokens])
+                each = np.repeat(np.arange(len(n)), n)
+                out = {"probe": np.concatenate(tokens).view(np.int64), "node": nodes[at : at + 256][each], "comp": comps[at : at + 256][each]}
+                out |= {"size": np.array(sizes, np.int32)[each], "pos": (np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)}
+                out |= {f"p{i}": x for i, x in enumerate(np.array(parity)[each].T)}
+                yield pa.record_batch({k: pa.array(np.ascontiguousarray(v)) for k, v in out.items()})
+        common.give_back()
+
+    return run
+
+
+_ENTRY = "probe long, node long, comp long, size int, pos int, p0 long, p1 long, p2 long, p3 long"
+
+
+def _crossing(similarity: float):
+    """Pairs of different groups that share a shingle of their prefixes, less those that by bounds can't be alike."""
+    names = ["probe", "node", "comp", "size", "pos", "p0", "p1", "p2", "p3", "side"]
+
+    def pairs(key, node, comp, size, pos, p0, p1, p2, p3, side):
+        order = np.lexsort((comp, key))
+        key, node, comp, size, pos, side = (x[order] for x in (key, node, comp, size, pos, side))
+        parity = np.stack([p0, p1, p2, p3], axis=1)[order].view(np.uint64)
+        end = np.searchsorted(key, key, "right")
+        last = np.flatnonzero(np.r_[(key[1:] != key[:-1]) | (comp[1:] != comp[:-1]), True])
+        after = last[np.searchsorted(last, np.arange(len(key)))] + 1  # the first row of the next group
+        idx, d, found = np.arange(len(key)), 0, [np.zeros((0, 2), np.int64)]
+        while len(idx := idx[after[idx] + d < end[idx]]):
+            x, y = idx, after[idx] + d
+            need = similarity / (1 + similarity) * (size[x] + size[y]) - 1e-6
+            # the first common shingle of a pair has all others behind it
+            fine = ((side[x] == 0) | (side[x] != side[y])) & (np.minimum(size[x] - pos[x], size[y] - pos[y]) >= need)
+            x, y, need = x[fine], y[fine], need[fine]
+            # bits of odd counts that differ are at most as many as the shingles of one set alone
+            fine = np.bitwise_count(parity[x] ^ parity[y]).sum(axis=1, dtype=np.int64) <= size[x] + size[y] - 2 * need
+            x, y = node[x[fine]], node[y[fine]]
+            if len(x):
+                found.append(np.stack([np.maximum(x, y), np.minimum(x, y)], axis=1))
+            d += 1
+        out = np.unique(np.concatenate(found), axis=0)
+        return pa.record_batch({"a": pa.array(np.ascontiguousarray(out[:, 0])), "b": pa.array(np.ascontiguousarray(out[:, 1]))})
+
+    def run(batches):
+        """Rows come sorted by probe; a probe's rows may span batches."""
+        held = None
+        for batch in batches:
+            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            if held is not None:
+                own = [np.concatenate(x) for x in zip(held, own, strict=True)]
+            last = int(np.searchsorted(own[0], own[0][-1])) if len(own[0]) else 0
+            held = [x[last:] for x in own]
+            if last:
+                yield pairs(*(x[:last] for x in own))
+        if held is not None and len(held[0]):
+            yield pairs(*held)
+        held = None
+        common.give_back()
+
+    return run
+
+
+#: So many texts tell which shingles are common; only the order of the prefixes depends on them, not what is found.
+SAMPLED, COMMON = 8_000, 100_000
+
+
+def _common_hashes(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, that several of some 8,000 texts have, and how many of these."""
+
+    def run(batches):
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                yield pa.record_batch({"h": pa.array(np.unique(shingle_hashes(words_of(text), shingle)).view(np.int64))})
+
+    share = min(1.0, SAMPLED / max(texts.count(), 1))
+    some = texts.where(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
+    often = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    h, n = (often.column(c).to_numpy().astype(np.int64) for c in ("h", "n"))
+    h = h.view(np.uint64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def crossing_pairs(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Candidates (a, b) of texts (node, comp, text, size, parity): every pair of different comp whose likeness reaches ``similarity``, and few others.
+
+    Prefix filtering: in one order of all shingles, two sets of n and m with
+    such a likeness share one of the first n - ceil(similarity n) + 1 of the one and
+    of as many of the other. Sizes, places and parities of 256 bits bound the
+    likeness from above. Shingles with more than BLOCK entries are dealt in blocks.
+    """
+    entries = texts.mapInArrow(_prefixes(shingle, similarity, *_common_hashes(texts, shingle)), _ENTRY)
+    hot = entries.groupBy("probe").agg(F.count("*").alias("n"), (F.min("comp") < F.max("comp")).alias("open")).where(F.col("n") > BLOCK)
+    hot = common.stored(hot.select("probe", F.when(F.col("open"), F.ceil(F.col("n") / BLOCK)).otherwise(0).cast("int").alias("blocks")), "hot", release=True)
+    n_hot = hot.limit(10_001).count()
+    rest = [c for c in entries.columns if c != "probe"]
+    entries = entries.withColumn("side", F.lit(0).cast("byte"))
+    if n_hot:
+        split = entries.join(F.broadcast(hot) if n_hot <= 10_000 else hot, "probe", "left").where("blocks is null or blocks > 0")
+        own = F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")
+        block = lambda x: F.struct(F.xxhash64("probe", F.least(x, own), F.greatest(x, own)).alias("probe"), F.when(x == own, 0).when(x < own, 1).otherwise(2).cast("byte").alias("side"))
+        parts = F.when(F.col("blocks").isNull(), F.array(F.struct("probe", "side"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), block))
+        entries = split.withColumn("part", F.explode(parts)).select("part.probe", *rest, "part.side")
+    dealt = entries.repartition(common.partitions(texts.sparkSession), "probe").sortWithinPartitions("probe")
+    found = dealt.mapInArrow(_crossing(similarity), "a long, b long").distinct()
+    of = lambda *names: texts.select("node", "size", "parity").toDF(*names)
+    both = found.join(of("a", "m", "x"), "a").join(of("b", "n", "y"), "b").select("a", "b", "m", "n", "x", "y")
+    return both.mapInArrow(_possible(similarity), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 12, similarity: float = 0.8) -> DataFrame:
     """(doc_id, group_id) of each doc_id: groups of texts linked by word-shingle likeness.
 
-    Candidates are texts whose fingerprints differ in at most ``bits`` places;
-    a candidate is a link if the Jaccard likeness of the shingle sets, computed
-    from the whole texts, is ``similarity`` at least. group_id is the smallest
+    Two texts are linked if the Jaccard likeness of their sets of shingles,
+    computed from the whole texts, is ``similarity`` at least; no link is lost.
+    First come the texts whose fingerprints, over distinct shingles, differ in at
+    most ``bits`` places, of each probe value the closest ones and a spanning
+    forest; this is only quick, not whole. Then every pair of texts of different
+    groups that prefix filtering can't rule out is verified. group_id is the smallest
     doc_id. Exact copies are always linked, null and wordless texts with each
-    other; a null doc_id is in no group and has no row. Within a probe value the candidates are
-    each text's closest one and a spanning forest, not all pairs; the many probe
-    values of a text offer it many candidates. Rows that repeat a doc_id are
+    other; a null doc_id is in no group and has no row. Rows that repeat a doc_id are
     one document, of the first text by order. Other columns are ignored.
     """
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -353,8 +515,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 12, similarit
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, min(256, batch.num_rows - at))
-                fp = _fingerprints([shingle_hashes(words_of(x), shingle) for x in part.column("text").to_pylist()]).view(np.int64)
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "x": part.column("x"), "y": part.column("y"), "fp": pa.array(fp)})
+                sets = [np.unique(shingle_hashes(words_of(x), shingle)) for x in part.column("text").to_pylist()]
+                some = np.array([len(s) > 0 for s in sets])  # wordless texts are copies of each other
+                x, y = (np.where(some, part.column(c).to_numpy(zero_copy_only=False), 0) for c in ("x", "y"))
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "x": pa.array(x), "y": pa.array(y), "fp": pa.array(_fingerprints(sets).view(np.int64))})
 
     marked = own.withColumn("c", copy).select("doc_id", "text", "c.x", "c.y").mapInArrow(run, "doc_id long, x long, y long, fp long")
     marked = common.stored(marked, "marked")
@@ -363,17 +527,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 12, similarit
     n, both = bit_counts(classes)
     if not n:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("doc_id").cast("long").alias("group_id")).limit(0)
+
+    def links(edges: DataFrame) -> DataFrame:
+        edges = common.stored(edges, "candidates", release=True)
+        ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+        sets = own.withColumnRenamed("doc_id", "node").join(ends, "node").mapInArrow(_sets(shingle), "node long, own binary")
+        sets = common.stored(sets.dropDuplicates(["node"]), "sets", release=True)
+        sides = edges.join(sets.withColumnsRenamed({"node": "a", "own": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "own": "y"}), "b")
+        found = common.stored(sides.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long"), "links", release=True)
+        for file in sets.inputFiles()[:1]:  # as large as the texts, and done with
+            common.remove(docs.sparkSession, file.rsplit("/", 1)[0])
+        return found
+
     near = near_edges(classes, bits, plan(n, both, bits), closest=True)
     of = classes.select(F.col("fp"), "node")
     near = near.join(of.withColumnsRenamed({"fp": "a", "node": "na"}), "a").join(of.withColumnsRenamed({"fp": "b", "node": "nb"}), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     same = texts.join(of.withColumnRenamed("node", "least"), "fp").where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    edges = common.stored(near.unionByName(same), "candidates")
-    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    sets = own.withColumnRenamed("doc_id", "node").join(ends, "node").mapInArrow(_sets(shingle), "node long, own binary")
-    sets = common.stored(sets.dropDuplicates(["node"]), "sets")
-    sides = edges.join(sets.withColumnsRenamed({"node": "a", "own": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "own": "y"}), "b")
-    sure = sides.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long")
-    comp = components(sure)
+    quick = links(near.unionByName(same))
+    nodes = texts.join(components(quick), "node", "left").select("node", F.coalesce("root", "node").alias("comp")).distinct()
+    apart = own.withColumnRenamed("doc_id", "node").join(nodes, "node").select("node", "comp", "text").mapInArrow(_parities(shingle), "node long, comp long, text string, size int, parity binary")
+    apart = common.stored(apart.dropDuplicates(["node"]), "apart", release=True)
+    comp = components(quick.unionByName(links(crossing_pairs(apart, shingle, similarity))))
     groups = texts.join(comp, "node", "left").select("x", "y", "fp", F.coalesce("root", "node").alias("group_id"))
     return marked.join(groups, ["x", "y", "fp"]).select("doc_id", "group_id")
 

@@ -156,3 +156,26 @@ def test_empty_tables(empty, spark):
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     for df in (suffix_dedup.suffix_dedup(empty), simhash.simhash_components(empty), simhash.near_duplicates(empty), simhash.one_of_each(empty), decontaminate.contained_items(empty, items), winnow.fingerprinted(empty)):
         assert df.count() == 0
+
+
+def near_groups(spark, texts):
+    sets = {i: set(brute.shingles(t, 5)) for i, t in texts.items()}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    got = simhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    return {r.doc_id: r.group_id for r in got}, brute.components(set(sets), alike)
+
+
+def test_near_duplicates_beyond_the_fingerprint_radius(spark):
+    rng = np.random.default_rng(3)
+    texts = {}
+    for i in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 1 << 40, 204)]
+        at = int(rng.integers(5, 170))
+        texts[2 * i], texts[2 * i + 1] = " ".join(words), " ".join([*words[:at], *(f"v{x}" for x in rng.integers(0, 1 << 40, 18)), *words[at + 18 :]])
+    for i in range(100, 120, 2):
+        words = [f"w{x}" for x in rng.integers(0, 1 << 40, 70)]
+        texts[i], texts[i + 1] = " ".join(words), " ".join(words + words[-10:] * 11)
+    fps = {i: brute.simhash(t, 5) for i, t in texts.items()}
+    assert sum((fps[i] ^ fps[i + 1]).bit_count() > 12 for i in texts if i % 2 == 0) > 5
+    got, want = near_groups(spark, texts)
+    assert all(want[i + 1] == i for i in texts if i % 2 == 0) and got == want
