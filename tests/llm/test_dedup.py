@@ -179,3 +179,18 @@ def test_near_duplicates_beyond_the_fingerprint_radius(spark):
     assert sum((fps[i] ^ fps[i + 1]).bit_count() > 12 for i in texts if i % 2 == 0) > 5
     got, want = near_groups(spark, texts)
     assert all(want[i + 1] == i for i in texts if i % 2 == 0) and got == want
+
+
+@pytest.mark.parametrize("block", [1500, 20])
+def test_near_duplicates_among_candidates_that_fail(spark, monkeypatch, block):
+    """All fingerprints are equal, so that a spanning forest of the candidates has hardly any of the links."""
+    rng = np.random.default_rng(4)
+    template = [f"w{x}" for x in range(150)]
+    texts = {}
+    for i in range(60):
+        words = [*template[:75], *(f"v{x}" for x in rng.integers(0, 1 << 40, 30)), *template[75:]]
+        texts[2 * i], texts[2 * i + 1] = " ".join(words), " ".join([*words[:-3], "end", str(i)])
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "_fingerprints", lambda hashes: np.zeros(len(hashes), np.uint64))
+    got, want = near_groups(spark, texts)
+    assert all(want[i] == i - i % 2 for i in texts) and got == want
