@@ -24,13 +24,18 @@ def smith_waterman(a: str, b: str, match: float = 5, mismatch: float = -4, openi
     left = np.full((n + 1, m + 1), -np.inf)
     up_long = np.zeros((n + 1, m + 1), bool)
     left_long = np.zeros((n + 1, m + 1), bool)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            go, new = up[i - 1, j] - extend, h[i - 1, j] - opening
-            up_long[i, j], up[i, j] = go > new, max(go, new)
-            go, new = left[i, j - 1] - extend, h[i, j - 1] - opening
-            left_long[i, j], left[i, j] = go > new, max(go, new)
-            h[i, j] = max(0, h[i - 1, j - 1] + (match if a[i - 1] == b[j - 1] else mismatch), up[i, j], left[i, j])
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
+    gain = np.full((n + 1, m + 1), float(mismatch))
+    gain[1:, 1:][x[:, None] == y] = match
+    fh, fu, fl, ful, fll, fg = (t.reshape(-1) for t in (h, up, left, up_long, left_long, gain))
+    for d in range(2, n + m + 1 if n and m else 2):  # cells with i + j = d lie m apart
+        first, last = max(1, d - m) * m + d, min(n, d - 1) * m + d
+        at = lambda back: slice(first - back, last - back + 1, m)  # noqa: B023, E731
+        go, new = fu[at(m + 1)] - extend, fh[at(m + 1)] - opening
+        ful[at(0)], fu[at(0)] = go > new, np.maximum(go, new)
+        go, new = fl[at(1)] - extend, fh[at(1)] - opening
+        fll[at(0)], fl[at(0)] = go > new, np.maximum(go, new)
+        fh[at(0)] = np.maximum(np.maximum(0, fh[at(m + 2)] + fg[at(0)]), np.maximum(fu[at(0)], fl[at(0)]))
     if not h.size or h.max() <= 0:
         return 0.0, "", "", ""
     i, j = np.unravel_index(int(h.argmax()), h.shape)

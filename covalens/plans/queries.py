@@ -492,10 +492,10 @@ def greedy_clusters(spark, sf_dir):
 
 @query()
 def local_alignment(spark, sf_dir):
-    """Benchmark items aligned to those that share k-mers with them."""
+    """Whole benchmark items aligned to those that share k-mers with them."""
     items = table(spark, sf_dir, "benchmark")
     near = align.seeds(items, "item_id", "text", align.kmer_index(items, "item_id", "text", 9), 9).where("query < target")
-    side = lambda name: items.select(F.col("item_id").alias(name), F.substring("text", 1, 120).alias(f"{name}_text"))
+    side = lambda name: items.select(F.col("item_id").alias(name), F.col("text").alias(f"{name}_text"))
     pairs = near.join(side("query"), "query").join(side("target"), "target")
     return align.aligned(pairs, "query_text", "target_text").select("query", "target", "score", "top", "bottom")
 

@@ -196,3 +196,49 @@ def test_quartiles_by_place(spark):
 def test_border_goes_down(spark, share, bin_):
     df = spark.createDataFrame([(share,)], "v double")
     assert profile.binned(df, F.col("v"), 0.02).first()["bin"] == bin_
+
+
+def plain_score(a, b):
+    h, up, left = ([[0 if t == 0 else -1e9] * (len(b) + 1) for _ in range(len(a) + 1)] for t in range(3))
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            up[i][j] = max(up[i - 1][j] - 4, h[i - 1][j] - 16)
+            left[i][j] = max(left[i][j - 1] - 4, h[i][j - 1] - 16)
+            h[i][j] = max(0, h[i - 1][j - 1] + (5 if a[i - 1] == b[j - 1] else -4), up[i][j], left[i][j])
+    return max(map(max, h))
+
+
+def line_score(top, bottom):
+    """What the lines of an alignment score; each run of gaps opens once."""
+    total = 0
+    for k, (x, y) in enumerate(zip(top, bottom, strict=True)):
+        if "-" in (x, y):
+            side = top if x == "-" else bottom
+            total -= 4 if k and side[k - 1] == "-" else 16
+        else:
+            total += 5 if x == y else -4
+    return total
+
+
+def test_local_alignment_of_whole_items(spark, tmp_path):
+    from covalens.plans.queries import local_alignment
+
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choices("acgté", k=n))
+    tail, long = word(60), word(200)
+    texts = {1: word(140) + tail, 2: word(170) + tail[:25] + "ac" + tail[25:], 3: long, 4: long[:90] + long[95:] + word(30), 5: word(30)}
+    spark.createDataFrame(list(texts.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r["query"], r["target"]): r for r in local_alignment(spark, str(tmp_path)).collect()}
+    assert {(1, 2), (3, 4)} <= set(got)
+    for (i, j), r in got.items():
+        assert r.score == plain_score(texts[i], texts[j]) == line_score(r.top, r.bottom)
+        assert r.top.replace("-", "") in texts[i] and r.bottom.replace("-", "") in texts[j]
+    assert got[1, 2].score > 200
+
+
+@given(st.text("acg", max_size=14), st.text("acg", max_size=14))
+@settings(max_examples=150, deadline=None)
+def test_smith_waterman_scores(a, b):
+    score, top, _, bottom = align.smith_waterman(a, b)
+    assert score == plain_score(a, b) == line_score(top, bottom)
+    assert top.replace("-", "") in a and bottom.replace("-", "") in b
