@@ -28,6 +28,10 @@ def query(sql: str | None = None):
     return add
 
 
+#: A bound on the places of a k-mer that never applies.
+ALL_PLACES = (1 << 63) - 1
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -451,7 +455,7 @@ def hamming_collapse(spark, sf_dir):
     select a.item_id as query, b.item_id as target, count(*) as n from k a join k b on a.kmer = b.kmer group by 1, 2 having count(*) >= 2""")
 def tiled_lookup(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark")
-    return align.seeds(items, "item_id", "text", align.kmer_index(items, "item_id", "text", 13), 13)
+    return align.seeds(items, "item_id", "text", align.kmer_index(items, "item_id", "text", 13, most=ALL_PLACES), 13)
 
 
 @query("""select r.a as ref, r.b as alt, case when length(r.a) = length(r.b) then case length(r.a) when 1 then 'SNP' when 2 then 'DNP' when 3 then 'TNP' else 'ONP' end when length(r.a) = 1 then 'INS' when length(r.b) = 1 then 'DEL' else 'CTX' end as kind, count(*) as n
@@ -494,7 +498,7 @@ def greedy_clusters(spark, sf_dir):
 def local_alignment(spark, sf_dir):
     """Whole benchmark items aligned to those that share k-mers with them."""
     items = table(spark, sf_dir, "benchmark")
-    near = align.seeds(items, "item_id", "text", align.kmer_index(items, "item_id", "text", 9), 9).where("query < target")
+    near = align.seeds(items, "item_id", "text", align.kmer_index(items, "item_id", "text", 9, most=ALL_PLACES), 9).where("query < target")
     side = lambda name: items.select(F.col("item_id").alias(name), F.col("text").alias(f"{name}_text"))
     pairs = near.join(side("query"), "query").join(side("target"), "target")
     return align.aligned(pairs, "query_text", "target_text").select("query", "target", "score", "top", "bottom")

@@ -242,3 +242,16 @@ def test_smith_waterman_scores(a, b):
     score, top, _, bottom = align.smith_waterman(a, b)
     assert score == plain_score(a, b) == line_score(top, bottom)
     assert top.replace("-", "") in a and bottom.replace("-", "") in b
+
+
+def test_tiled_lookup_of_frequent_kmers(spark, tmp_path):
+    import duckdb
+
+    from covalens.plans.queries import ORACLES, tiled_lookup
+
+    texts = [(1, "ab" * 2700), (2, "ab" * 2700), (3, "ab" * 8)]  # each k-mer has over 5,000 places
+    spark.createDataFrame(texts, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view benchmark as select * from '{tmp_path}/benchmark.parquet/*.parquet'")
+    want = sorted(con.sql(ORACLES["tiled_lookup"]).fetchall())
+    assert len(want) == 9 and sorted((r["query"], r.target, r.n) for r in tiled_lookup(spark, str(tmp_path)).collect()) == want
