@@ -2,19 +2,24 @@
 
 Of each ``w`` successive k-gram hashes the least is chosen, the rightmost of
 equal ones; any passage of w + k - 1 words that two texts share then gives them
-a common fingerprint. Each word is hashed once, and a k-gram's hash is made of
-the hashes of the words it rolls over. The window's minimum takes log2(w) passes
-of pairwise minima over (hash, position) packed in one long.
+a common fingerprint. Each word is hashed once. A k-gram's hash is the rolling
+one of Karp and Rabin, the sum of word x BASE^place modulo PRIME; it is put
+together from the hashes of shorter grams, so all grams take log2(k) passes, and
+the window's minimum log2(w) passes over (hash, position) packed in one long.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from covalens.llm import common
 
+PRIME = (1 << 31) - 1
+BASE = 1_000_003
 _POS = (1 << 30) - 1
 
 
@@ -22,10 +27,33 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), "")
 
 
-def grams(hashed: Column, k: int) -> Column:
-    n = F.size(hashed)
-    many = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.xxhash64(*[F.get(hashed, i + (j - 1)) for j in range(k)]))
-    return F.when(n >= k, many).when(n > 0, F.array(F.xxhash64(hashed))).otherwise(F.array().cast("array<bigint>"))
+def word_hashes(text: Column) -> Column:
+    """A number below PRIME for each word."""
+    return F.transform(_words(text), lambda x: F.pmod(F.xxhash64(x), F.lit(PRIME)))
+
+
+def _appended(a: str, b: str, skip: int, words: int) -> Column:
+    """Hashes of grams of ``a``, each followed by the gram of so many ``words`` in ``b`` that begins ``skip`` places on; null beyond the end."""
+    scale = pow(BASE, words, PRIME)
+    return F.zip_with(a, F.slice(b, skip + 1, F.greatest(F.size(b), F.lit(1))), lambda x, y: (x * scale + y) % PRIME)
+
+
+def _with_grams(df: DataFrame, column: str, k: int) -> DataFrame:
+    """Turns word hashes into hashes of ``k`` successive words; fewer words make one gram, none make none."""
+    words, power = f"{column}_words", f"{column}_power"
+    df = df.withColumn(words, F.col(column)).withColumn(power, F.col(column))
+    have, step = 0, 1
+    while have < k:
+        if k & step:
+            df = df.withColumn(column, _appended(column, power, have, step) if have else F.col(power))
+            have += step
+        if have < k:
+            df = df.withColumn(power, _appended(power, power, step, step))
+            step *= 2
+    n = F.size(words)
+    short = F.aggregate(words, F.lit(0).cast("long"), lambda at, x: (at * BASE + x) % PRIME)
+    whole = F.when(n >= k, F.slice(column, F.lit(1), F.greatest(n - (k - 1), F.lit(1)))).when(n > 0, F.array(short)).otherwise(F.array().cast("array<bigint>"))
+    return df.withColumn(column, whole).drop(words, power)
 
 
 def _least(packed: Column, n: Column, step: int) -> Column:
@@ -38,11 +66,9 @@ def winnowed(df: DataFrame, text: str, out: str, k: int = 5, w: int = 4) -> Data
     pos counts k-grams from 0. Fewer than ``w`` k-grams form one window, fewer than ``k`` words one k-gram.
     """
     g, v = f"{out}_g", f"{out}_v"
-    df = df.withColumn(g, F.transform(_words(F.coalesce(F.col(text), F.lit(""))), lambda x: F.xxhash64(x)))
-    df = df.withColumn(g, grams(F.col(g), k))
+    df = _with_grams(df.withColumn(g, word_hashes(F.coalesce(F.col(text), F.lit("")))), g, k)
     # hash above, position below: the least has the least hash, and of equal ones the last position
-    pack = lambda x, i: F.shiftleft(F.shiftrightunsigned(x, 31), 30).bitwiseOR(F.lit(_POS) - i)
-    df = df.withColumn(v, F.transform(g, pack))
+    df = df.withColumn(v, F.transform(g, lambda x, i: F.shiftleft(x, 30).bitwiseOR(F.lit(_POS) - i)))
     have = 1
     while have < w:
         step = min(have, w - have)
@@ -66,36 +92,64 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(common_ / total)
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """Adds next_text: the text of the next row by descending doc_id, of the last row the first one's.
+#: Sub-blocks are numbered below this within the block of one bound.
+_SUBS = 1 << 20
+
+
+def _folded(values: list[int]) -> Column:
+    """An array of longs, written as one string that is folded into one literal; thousands of literals would be slow to plan."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
-    Rows are dealt in ranges whose bounds are quantiles of doc_id, so no task
-    gets all rows and only each range's first text travels further. A null
-    doc_id comes last; rows that repeat a doc_id follow each other by text. A
-    single row is its own next.
+
+def _block(rows: DataFrame, blocks: int) -> Column:
+    """The range of (__key, __mark) that a row lies in, counted up with the key; no key, null ids included, has more than some shares of one.
+
+    Bounds are quantiles of the keys. A key that is several quantiles has as many
+    shares of the rows, and is dealt further by the upper bits of its mark.
     """
-    spark = docs.sparkSession
-    blocks = 4 * common.partitions(spark)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    docs = docs.withColumn("__key", key)
-    bounds = docs.agg(F.percentile_approx("__key", [i / blocks for i in range(1, blocks)], 100 * blocks).alias("q")).first().q
-    bounds = sorted(set(bounds or []))
-    # how many bounds lie below the key, found by halving
+    q = rows.agg(F.percentile_approx("__key", [i / blocks for i in range(1, blocks)], 100 * blocks)).first()[0]
+    times = Counter(q or [])
+    bounds = sorted(times)
+    if not bounds:
+        return F.lit(0).cast("long")
+    table = _folded(bounds)
     steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
-    below = F.lit(0)
-    if bounds:
-        table = F.array(*map(F.lit, bounds))
-        below = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & (F.get(table, at + (step - 1)) < F.col("__key")), at + step).otherwise(at))
-    docs = docs.withColumn("__block", below)
-    docs = docs.withColumn("__block", -F.col("__block"))
-    heads = docs.groupBy("__block").agg(F.max(F.struct("__key", "text")).alias("head"))
-    every = W.orderBy("__block")
-    follows = F.coalesce(F.lead("head").over(every), F.first("head").over(every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    heads = heads.select("__block", follows.getField("text").alias("__follows"))
-    own = W.partitionBy("__block").orderBy(F.desc("__key"), F.desc_nulls_last("text"))
-    dealt = docs.repartition(common.partitions(spark), "__block").withColumn("__n", F.lead(F.struct("text")).over(own))
-    out = dealt.join(heads, "__block")
-    return out.withColumn("next_text", F.when(F.col("__n").isNull(), F.col("__follows")).otherwise(F.col("__n.text"))).drop("__block", "__key", "__n", "__follows")
+    # how many bounds lie below the key, found by halving
+    below = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & (F.get(table, at + (step - 1)) < F.col("__key")), at + step).otherwise(at))
+    block = below.cast("long") * _SUBS
+    hot = {key: n + 1 for key, n in times.items() if n > 1}
+    if hot:
+        parts = F.get(_folded(list(hot.values())), F.array_position(_folded(list(hot)), F.col("__key")).cast("int") - 1)
+        # the hot key is the largest of its block; the upper 32 bits of the mark tell the part
+        block += F.coalesce(1 + F.shiftright((F.shiftright("__mark", 32) + (1 << 31)) * parts, 32), F.lit(0))
+    return block
+
+
+def ranged(docs: DataFrame) -> tuple[DataFrame, W]:
+    """Rows (doc_id, text, copy) by descending doc_id in ranges, and the window over a range.
+
+    No task gets all rows, and no key, null included, all of its rows in one.
+    Each range ends with a copy of the next range's first row; the last range's
+    is the first row of all. A null doc_id comes last; rows that repeat a doc_id
+    follow each other by descending hash of the text, then by text.
+    """
+    spark = docs.sparkSession
+    key, mark = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64("text")
+    rows = docs.withColumns({"__key": key, "__mark": mark})
+    rows = rows.withColumn("__block", _block(rows.select("__key", "__mark"), 4 * common.partitions(spark)))
+    # keys, not texts, say which row heads a range; there are few ranges
+    heads = rows.groupBy("__block").agg(F.max(F.struct("__key", "__mark")).alias("head"))
+    ring = W.orderBy(F.desc("__block"))
+    before = F.coalesce(F.lag("__block").over(ring), F.min("__block").over(ring.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    heads = common.stored(heads.select("head", before.alias("before")), "heads")
+    first = heads.select(F.col("head.__key").alias("__k"), F.col("head.__mark").alias("__m"), "before")
+    copies = docs.select(key.alias("__k"), mark.alias("__m"), "text").join(F.broadcast(first), ["__k", "__m"])
+    copies = copies.groupBy("before").agg(F.max("text").alias("text"))  # of rows with one key and mark the first
+    copies = copies.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(-(1 << 63)).alias("__key"), F.lit(-(1 << 63)).alias("__mark"), F.col("before").alias("__block"), F.lit(True).alias("copy"))
+    every = rows.select("doc_id", "text", "__key", "__mark", "__block", F.lit(False).alias("copy")).unionByName(copies)
+    order = ["copy", F.desc("__key"), F.desc("__mark"), F.desc("text")]
+    dealt = every.repartition(common.partitions(spark), "__block").sortWithinPartitions("__block", *order)
+    return dealt, W.partitionBy("__block").orderBy(*order)
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -112,11 +166,12 @@ def fingerprinted(docs: DataFrame, k: int = 5, w: int = 4) -> DataFrame:
     fingerprint is the SHA-256 of the chosen hashes and positions, so equal
     texts (up to case and the width of white space) have equal ones; texts
     without words share one, and are alike to degree 1. The edited text is
-    described at ``edited``; the next row at ``with_next``. An empty table gives no rows.
+    described at ``edited``; the order of rows at ``ranged``. A single row is
+    its own next. An empty table gives no rows.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    df = with_next(own).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    df = df.withColumns({"n_chars": F.char_length("text").cast("long"), "edited_sha256": F.sha2("edited", 256)})
-    for text, out in (("text", "f"), ("edited", "fe"), ("next_text", "fn")):
-        df = winnowed(df, text, out, k, w)
-    return df.select("doc_id", "n_chars", "edited_sha256", digest("f").alias("fingerprint"), digest("fe").alias("edited_fingerprint"), likeness(F.col("f.hash"), F.col("fe.hash")).alias("near_edited"), likeness(F.col("f.hash"), F.col("fn.hash")).alias("near_next"))
+    rows, window = ranged(own)
+    rows = winnowed(rows, "text", "f", k, w).withColumn("next", F.lead(F.struct("text", F.col("f.hash").alias("hash"))).over(window)).where(~F.col("copy"))
+    df = rows.select("doc_id", "text", "f", F.col("next.hash").alias("next_hash"), edited(F.col("text"), F.col("next.text")).alias("edited"))
+    df = winnowed(df, "edited", "fe", k, w)
+    return df.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digest("f").alias("fingerprint"), digest("fe").alias("edited_fingerprint"), likeness(F.col("f.hash"), F.col("fe.hash")).alias("near_edited"), likeness(F.col("f.hash"), F.col("next_hash")).alias("near_next"))

@@ -80,3 +80,18 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, gr
 
 def table(spark, rows):
     return spark.createDataFrame([(i, t, lang, "s", len(t or ""), 1, "k", 2, 3) for i, t, lang in rows], SCHEMA)
+
+
+def winnowed(text, k, w):
+    """(hash, pos) of the chosen k-grams: the least of each window, the rightmost of equal ones."""
+    prime, base = (1 << 31) - 1, 1_000_003
+    hashes = [(xxhash.xxh64_intdigest(x.encode(), 42) + (1 << 63)) % (1 << 64) - (1 << 63) for x in re.split(r"[\x20\x09-\x0D]+", text.lower()) if x]
+    grams = [hashes[i : i + k] for i in range(len(hashes) - k + 1)] if len(hashes) >= k else [hashes] if hashes else []
+    value = [sum(h % prime * pow(base, len(g) - 1 - j, prime) for j, h in enumerate(g)) % prime for g in grams]
+    chosen = {min(range(i, min(i + w, len(value))), key=lambda p: (value[p], -p)) for i in range(max(1, len(value) - w + 1))} if value else set()
+    return [(value[p], p) for p in sorted(chosen)]
+
+
+def likeness(a, b):
+    a, b = {h for h, _ in a}, {h for h, _ in b}
+    return len(a & b) / len(a | b) if a | b else 1.0

@@ -5,6 +5,7 @@ import hashlib
 import brute
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from covalens.llm import decontaminate, simhash, suffix_dedup, winnow
@@ -123,21 +124,54 @@ def test_no_python_on_the_native_paths(docs, spark):
         assert not any(x in plan for x in ("Python", "Pandas", "InArrow"))
 
 
-def test_fingerprints(docs, rows):
-    got = winnow.fingerprinted(docs).collect()
-    own = sorted(((-(1 << 63) if i is None else i, t or "") for i, t, _ in rows), key=lambda x: (x[0], x[1]), reverse=True)
-    want = []
-    for k, (i, t) in enumerate(own):
-        following = own[(k + 1) % len(own)][1]
+def in_order(rows):
+    """By descending doc_id, null last; rows of one doc_id by the signed hash of the text, then the text."""
+    mark = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + (1 << 63)) % (1 << 64)
+    return sorted(((NONE_LAST if i is None else i, t or "") for i, t, *_ in rows), key=lambda x: (x[0], mark(x[1]), x[1]), reverse=True)
+
+
+NONE_LAST = -(1 << 63)
+
+
+def plain_fingerprints(rows, k, w):
+    own = in_order(rows)
+    out = []
+    for at, (i, t) in enumerate(own):
+        following = own[(at + 1) % len(own)][1]
         cut = len(t) // 3
         edited = t[: len(t) - cut] + following[:cut]
-        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest()))
-    assert sorted((-(1 << 63) if r.doc_id is None else r.doc_id, r.n_chars, r.edited_sha256) for r in got) == sorted(want)
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
-    prints = {}
-    for r in got:
-        prints.setdefault(r.doc_id, set()).add(r.fingerprint)
-    assert prints[2] >= prints[30] and len(prints[5]) == 1 and prints[60] == prints[61] == prints[62] and prints[63] == prints[64]
+        f, fe, fn = (brute.winnowed(x, k, w) for x in (t, edited, following))
+        digest = lambda x: hashlib.sha256(",".join(f"{h:X}:{p}" for h, p in x).encode()).hexdigest()
+        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), digest(f), digest(fe), brute.likeness(f, fe), brute.likeness(f, fn)))
+    return sorted(out)
+
+
+def got_fingerprints(df, **options):
+    return sorted((NONE_LAST if r.doc_id is None else r.doc_id, *r[1:]) for r in winnow.fingerprinted(df, **options).collect())
+
+
+@pytest.mark.parametrize(("k", "w"), [(5, 4), (1, 1), (3, 7), (8, 2)])
+def test_fingerprints(docs, rows, k, w):
+    assert got_fingerprints(docs, k=k, w=w) == plain_fingerprints(rows, k, w)
+
+
+@pytest.mark.parametrize(("partitions", "frames"), [("4", 0), ("12", 1), ("12", 2), ("40", 5)])
+def test_fingerprints_whatever_went_before(spark, partitions, frames):
+    """Neither earlier frames (expression ids) nor the number of ranges matter; hot and null ids are dealt further."""
+    rows = [(i % 700 if i % 3 else (None if i % 2 else 5), f"t{i % 50} " * (i % 30)) for i in range(1500)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        for _ in range(frames):
+            spark.createDataFrame([(1, "x")], "doc_id long, text string").withColumn("y", F.lit(1))
+        assert got_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")) == plain_fingerprints(rows, 5, 4)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_one_row_is_its_own_next(spark):
+    for rows in ([(7, "a b c d e f g h i")], [(None, None)]):
+        assert got_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")) == plain_fingerprints(rows, 5, 4)
 
 
 def test_winnowing_guarantee_and_rightmost_ties(spark):
@@ -147,9 +181,6 @@ def test_winnowing_guarantee_and_rightmost_ties(spark):
     assert {x.hash for x in a} & {x.hash for x in b}  # eight words in common are w + k - 1
     # all grams are equal: each window chooses its last
     assert [x.pos for x in ties] == [3, 4, 5, 6, 7]
-    hashed = [x.h for x in spark.createDataFrame([("p q r s t u v w x y",)], "text string").select(F.explode(winnow.grams(F.transform(F.split("text", " "), lambda x: F.xxhash64(x)), k)).alias("h")).collect()]
-    top = [(h % (1 << 64)) >> 31 for h in hashed]
-    assert [x.pos for x in a] == sorted({max(p for p in range(i, i + w) if top[p] == min(top[i : i + w])) for i in range(len(top) - w + 1)})
 
 
 def test_empty_tables(empty, spark):
