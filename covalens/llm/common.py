@@ -6,12 +6,13 @@ Tables between steps go to the folder that the cluster names in
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
-import gc
 import math
+import re
+import shutil
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -29,11 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one where none is configured."""
+    """The cluster's shared folder. Only a local session without one gets a temporary folder; elsewhere it would not be shared."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or getattr(shared_dir, "own", None)
     if not where:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = shared_dir.own = tempfile.mkdtemp(prefix="covalens-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(where)
     return where.rstrip("/")
@@ -43,27 +47,34 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/covalens/{uuid.uuid4().hex}/{tag}"
 
 
-def stored(df: DataFrame, tag: str, release: bool = False) -> DataFrame:
-    """``df`` written to the shared folder and read back: its lineage ends there.
+#: Spark drops an execution's shuffle files as it ends, instead of when the driver happens to collect garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    Shuffle files of finished steps go once the driver's JVM has collected what
-    refers to them; with ``release``, for large steps, it is asked to, as soon as
-    the events that still hold the plan have been handled.
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage ends there, and its shuffle files go.
+
+    A step that has cached blocks of its own keeps them; blocks lost with an
+    executor are made again, for which Spark repeats the shuffle.
     """
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    if release:
-        time.sleep(1)
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    spark = df.sparkSession
+    path, before = new_path(spark, tag), spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table that ``stored`` has written, once nothing reads it any more."""
+    spark = table.sparkSession
+    jvm, own = spark.sparkContext._jvm, shared_dir(spark)
+    for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        if "/covalens/" in folder and folder.split("/covalens/")[0].split(":")[-1].lstrip("/") == own.split(":")[-1].lstrip("/"):
+            where = jvm.org.apache.hadoop.fs.Path(folder)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def partitions(spark: SparkSession) -> int:

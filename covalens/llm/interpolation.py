@@ -273,7 +273,7 @@ def scored(docs: DataFrame, order: int = 2, modulus: int = 7, held: int = 2, fol
     replies = None
     for part in range(PARTS):
         sent = blobs.groupBy("grp").applyInArrow(_send(order, size, part), BLOCK)
-        added = common.stored(sent.groupBy("bucket", "ord").applyInArrow(_add(), REPLY), f"replies-{part}", release=True)
+        added = common.stored(sent.groupBy("bucket", "ord").applyInArrow(_add(), REPLY), f"replies-{part}")
         replies = added if replies is None else replies.unionByName(added)
     sums = np.zeros(3, np.int64)
     for r in replies.where(F.col("grp") == _STATS).select("train").collect():

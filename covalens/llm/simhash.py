@@ -330,109 +330,188 @@ def _sets(shingle: int):
             for at in range(0, batch.num_rows, 256):
                 own = [np.unique(shingle_hashes(words_of(x), shingle)) for x in batch.column("text")[at : at + 256].to_pylist()]
                 yield pa.record_batch({"node": batch.column("node")[at : at + 256], "own": common.binaries(own)})
+        common.give_back()
 
     return run
 
 
-def _parities(shingle: int):
-    """Adds the size of each text's set and, in about as many bits, whether an odd number of its shingles fall on each."""
+def _due(size):
+    """How many shingles two alike sets, the smaller one of ``size``, must share within their prefixes; these are longer by as many less one."""
+    return 1 + size // 50
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, sizes, parity = batch.slice(at, min(256, batch.num_rows - at)), [], []
-                for text in part.column("text").to_pylist():
-                    own = np.unique(shingle_hashes(words_of(text), shingle))
-                    bits = min(1 << 20, max(256, 1 << len(own).bit_length()))
-                    odd = np.bincount((own >> np.uint64(17) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-                    parity.append(np.packbits(odd.astype(np.uint8)))
-                    sizes.append(len(own))
-                yield pa.record_batch({**{c: part.column(c) for c in ("node", "comp", "text")}, "size": pa.array(sizes, pa.int32()), "parity": common.binaries(parity)})
 
-    return run
+#: Sets from this size on meet by the contents of buckets; single shingles of larger sets meet too often by chance.
+LARGE = 400
 
 
-def _possible(similarity: float):
-    """Pairs whose parities, folded to the fewer bits of the two, don't differ in more bits than alike sets of their sizes can."""
+def _class_ends(similarity: float, largest: int) -> list[int]:
+    """Size classes from LARGE on, each 1 / similarity times the one before: alike sets are of one class or of neighbouring ones."""
+    ends = [LARGE]
+    while ends[-1] <= largest or len(ends) < 3:
+        ends.append(max(ends[-1] + 1, math.ceil(LARGE / similarity ** len(ends))))
+    return [*ends, math.ceil(LARGE / similarity ** len(ends)), math.ceil(LARGE / similarity ** (len(ends) + 1))]
 
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for m, n, x, y in zip(*(batch.column(c).to_pylist() for c in ("m", "n", "x", "y")), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                while len(x) != len(y):
-                    x, y = (x, y) if len(x) > len(y) else (y, x)
-                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-                keep.append(int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) <= (m + n) * (1 - similarity) / (1 + similarity) + 1e-6)
-            yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(keep, pa.bool_()))
-
-    return run
 
+def _buckets(own: np.ndarray, similarity: float) -> np.ndarray:
+    """Names of what the set holds in each bucket, in the division for its size class and in that of the class below.
 
-def _prefixes(shingle: int, similarity: float, common_hashes: np.ndarray, weight: np.ndarray):
-    """Entries of the shingles of which two alike sets share one: the first of each set in one order for all, rare ones first."""
+    Alike sets differ in at most k shingles. Dealt to more than k buckets, they
+    are equal in one of the buckets that are not empty, if there are over k of
+    these in either set; sets that have fewer meet by a name of their own.
+    """
+    ends = _class_ends(similarity, len(own))
+    mine = max(i for i, end in enumerate(ends) if end <= len(own))
+    names = []
+    for j in (mine, mine - 1):
+        if j < 0:
+            continue
+        k = math.floor((ends[j + 1] + ends[j + 2] - 2) * (1 - similarity) / (1 + similarity) + 1e-9)
+        n = math.ceil(1.15 * (k + 1))
+        salt = common.u64(j + 1)
+        bucket = (common.mixed(own + salt) % common.u64(n)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order]
+        at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        held = np.add.reduceat(common.mixed(own[order] ^ common.u64(0x9E3779B97F4A7C15)), at)
+        names.append(common.paired(held, bucket[at].astype(np.uint64), j + 1))
+        if len(at) <= k:
+            names.append(common.mixed(np.array([common.u64(0xB10C) + salt])))
+    return np.concatenate(names)
+
+
+def _met_by(own: np.ndarray, weight: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
+    """The names by which a set meets those like it, and how many of them are single shingles, the first of a prefix."""
+    n = len(own)
+    least = math.ceil(similarity * n - 1e-9)
+    prefix = own[np.lexsort((own, weight))][: n - least + _due(n)] if least <= LARGE else own[:0]  # none of an empty set
+    if n < LARGE:
+        return prefix, len(prefix)
+    return np.concatenate([prefix, _buckets(own, similarity)]), len(prefix)
+
+
+#: Of each set's shingles, whether an odd number of their hashes falls on each of 256 bits.
+PARITY = [f"p{i}" for i in range(4)]
+
+
+def _marked(shingle: int, similarity: float, common_hashes: np.ndarray, weight: np.ndarray):
+    """Adds to each text its fingerprint, its set's size and parities, and its prefix: the names by which it meets others, single shingles before buckets."""
 
     def run(batches):
         for batch in batches:
-            nodes, comps = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "comp"))
             for at in range(0, batch.num_rows, 256):
-                tokens, parity, sizes = [], [], []
-                for text in batch.column("text")[at : at + 256].to_pylist():
-                    own = np.unique(shingle_hashes(words_of(text), shingle))
+                part = batch.slice(at, min(256, batch.num_rows - at))
+                sets = [np.unique(shingle_hashes(words_of(x), shingle)) for x in part.column("text").to_pylist()]
+                some = np.array([len(s) > 0 for s in sets])  # wordless texts are copies of each other
+                x, y = (np.where(some, part.column(c).to_numpy(zero_copy_only=False), 0) for c in ("x", "y"))
+                prefix, singles, parity = [], [], []
+                for own in sets:
                     w = np.zeros(len(own), np.int64)
                     if len(common_hashes):
                         place = np.minimum(np.searchsorted(common_hashes, own), len(common_hashes) - 1)
                         w = np.where(common_hashes[place] == own, weight[place], 0)
-                    tokens.append(own[np.lexsort((own, w))][: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1])  # none of an empty set
+                    names, single = _met_by(own, w, similarity)
+                    prefix.append(names)
+                    singles.append(single)
                     odd = np.bincount((own >> np.uint64(17) & np.uint64(255)).astype(np.int64), minlength=256) & 1
                     parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-                    sizes.append(len(own))
-                n = np.array([len(t) for t in tokens])
-                each = np.repeat(np.arange(len(n)), n)
-                out = {"probe": np.concatenate(tokens).view(np.int64), "node": nodes[at : at + 256][each], "comp": comps[at : at + 256][each]}
-                out |= {"size": np.array(sizes, np.int32)[each], "pos": (np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)}
-                out |= {f"p{i}": x for i, x in enumerate(np.array(parity)[each].T)}
-                yield pa.record_batch({k: pa.array(np.ascontiguousarray(v)) for k, v in out.items()})
+                out = {"doc_id": part.column("doc_id"), "x": pa.array(x), "y": pa.array(y), "fp": pa.array(_fingerprints(sets).view(np.int64)), "size": pa.array([len(s) for s in sets], pa.int64())}
+                out |= {c: pa.array(np.ascontiguousarray(v)) for c, v in zip(PARITY, np.array(parity).T, strict=True)}
+                yield pa.record_batch(out | {"singles": pa.array(singles, pa.int64()), "prefix": common.binaries(prefix)})
+        common.give_back()
+
+    return run
+
+
+_MARKED = f"doc_id long, x long, y long, fp long, size long, {', '.join(f'{c} long' for c in PARITY)}, singles long, prefix binary"
+_ENTRY = ["probe", "node", "comp", "meta", *PARITY]
+
+
+def _entries(part: int, parts: int):
+    """One row for each name of a prefix that falls to ``part``; meta is the set's size, the shingle's place (0: a bucket; else from 1) and a side."""
+
+    def run(batches):
+        for batch in batches:
+            column = lambda c, rows=batch: rows.column(c).to_numpy(zero_copy_only=False)
+            tokens = [common.unpacked(x, np.uint64) for x in batch.column("prefix")]
+            for at in range(0, len(tokens), 512):
+                n = np.array([len(t) for t in tokens[at : at + 512]])
+                probe = np.concatenate(tokens[at : at + 512])
+                each = np.repeat(np.arange(at, at + len(n)), n)
+                pos = np.arange(1, len(each) + 1) - np.repeat(np.cumsum(n) - n, n)
+                pos[pos > column("singles")[each]] = 0
+                mine = probe % np.uint64(parts) == part
+                probe, each, pos = probe[mine], each[mine], pos[mine]
+                out = [probe.view(np.int64), column("node")[each], column("comp")[each], column("size")[each] << 34 | pos << 4, *(column(c)[each] for c in PARITY)]
+                yield pa.record_batch([pa.array(np.ascontiguousarray(x)) for x in out], names=_ENTRY)
         common.give_back()
 
     return run
 
 
-_ENTRY = "probe long, node long, comp long, size int, pos int, p0 long, p1 long, p2 long, p3 long"
+def _repeated():
+    """(probe, n, lo, hi) of the shingles that occur at least twice in a task's prefixes: how often, and the least and largest group."""
+
+    def flush(held):
+        probe, comp = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((comp, probe))
+        probe, comp = probe[order], comp[order]
+        at = np.flatnonzero(np.r_[True, probe[1:] != probe[:-1]])
+        n = np.diff(np.r_[at, len(probe)])
+        twice = n > 1
+        return pa.record_batch({"probe": pa.array(probe[at][twice].view(np.int64)), "n": pa.array(n[twice]), "lo": pa.array(comp[at][twice]), "hi": pa.array(comp[at + n - 1][twice])})
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            tokens = [common.unpacked(x, np.uint64) for x in batch.column("prefix")]
+            n = np.array([len(t) for t in tokens], np.int64)
+            held.append((np.concatenate([np.zeros(0, np.uint64), *tokens]), np.repeat(batch.column("comp").to_numpy(zero_copy_only=False), n)))
+            rows += int(n.sum())
+            if rows > 4_000_000:
+                yield flush(held)
+                held, rows = [], 0
+        if rows:
+            yield flush(held)
+        common.give_back()
+
+    return run
 
 
 def _crossing(similarity: float):
-    """Pairs of different groups that share a shingle of their prefixes, less those that by bounds can't be alike."""
-    names = ["probe", "node", "comp", "size", "pos", "p0", "p1", "p2", "p3", "side"]
+    """(a, b, n, due): in how many shingles of their prefixes two texts of different groups meet, less pairs that by bounds can't be alike."""
 
-    def pairs(key, node, comp, size, pos, p0, p1, p2, p3, side):
+    def pairs(key, node, comp, meta, *parity):
         order = np.lexsort((comp, key))
-        key, node, comp, size, pos, side = (x[order] for x in (key, node, comp, size, pos, side))
-        parity = np.stack([p0, p1, p2, p3], axis=1)[order].view(np.uint64)
+        key, node, comp, meta = (x[order] for x in (key, node, comp, meta))
+        size, pos, side = meta >> 34, meta >> 4 & ((1 << 30) - 1), meta & 15
+        parity = np.stack(parity, axis=1)[order].view(np.uint64)
         end = np.searchsorted(key, key, "right")
         last = np.flatnonzero(np.r_[(key[1:] != key[:-1]) | (comp[1:] != comp[:-1]), True])
         after = last[np.searchsorted(last, np.arange(len(key)))] + 1  # the first row of the next group
-        idx, d, found = np.arange(len(key)), 0, [np.zeros((0, 2), np.int64)]
+        idx, d, found = np.arange(len(key)), 0, [np.zeros((0, 3), np.int64)]
         while len(idx := idx[after[idx] + d < end[idx]]):
             x, y = idx, after[idx] + d
             need = similarity / (1 + similarity) * (size[x] + size[y]) - 1e-6
-            # the first common shingle of a pair has all others behind it
-            fine = ((side[x] == 0) | (side[x] != side[y])) & (np.minimum(size[x] - pos[x], size[y] - pos[y]) >= need)
-            x, y, need = x[fine], y[fine], need[fine]
+            # a bucket is enough; the first common shingle of a pair has all others behind it, the last one due as many less
+            bucket = (pos[x] == 0) & (pos[y] == 0)
+            due = np.where(bucket, 0, _due(np.minimum(size[x], size[y])))
+            behind = np.where(bucket, np.minimum(size[x], size[y]), np.minimum(size[x] - pos[x], size[y] - pos[y]) + due)
+            fine = ((side[x] == 0) | (side[x] != side[y])) & (behind >= need)
+            x, y, need, due = x[fine], y[fine], need[fine], due[fine]
             # bits of odd counts that differ are at most as many as the shingles of one set alone
             fine = np.bitwise_count(parity[x] ^ parity[y]).sum(axis=1, dtype=np.int64) <= size[x] + size[y] - 2 * need
-            x, y = node[x[fine]], node[y[fine]]
+            x, y, due = node[x[fine]], node[y[fine]], due[fine]
             if len(x):
-                found.append(np.stack([np.maximum(x, y), np.minimum(x, y)], axis=1))
+                found.append(np.stack([np.maximum(x, y), np.minimum(x, y), due], axis=1))
             d += 1
-        out = np.unique(np.concatenate(found), axis=0)
-        return pa.record_batch({"a": pa.array(np.ascontiguousarray(out[:, 0])), "b": pa.array(np.ascontiguousarray(out[:, 1]))})
+        out, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
+        return pa.record_batch([pa.array(np.ascontiguousarray(v)) for v in (out[:, 0], out[:, 1], n, out[:, 2])], names=["a", "b", "n", "due"])
 
     def run(batches):
         """Rows come sorted by probe; a probe's rows may span batches."""
         held = None
         for batch in batches:
-            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in _ENTRY]
             if held is not None:
                 own = [np.concatenate(x) for x in zip(held, own, strict=True)]
             last = int(np.searchsorted(own[0], own[0][-1])) if len(own[0]) else 0
@@ -460,7 +539,7 @@ def _common_hashes(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
                 yield pa.record_batch({"h": pa.array(np.unique(shingle_hashes(words_of(text), shingle)).view(np.int64))})
 
     share = min(1.0, SAMPLED / max(texts.count(), 1))
-    some = texts.where(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
+    some = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
     often = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
     h, n = (often.column(c).to_numpy().astype(np.int64) for c in ("h", "n"))
     h = h.view(np.uint64)
@@ -468,91 +547,111 @@ def _common_hashes(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
     return h[order], n[order]
 
 
-def crossing_pairs(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Candidates (a, b) of texts (node, comp, text, size, parity): every pair of different comp whose likeness reaches ``similarity``, and few others.
+#: So many texts, of 16 bytes each, are broadcast; they are counted first, and beyond them joined by shuffle.
+ENDS = 500_000
+#: The search by prefixes is done in so many parts by range of shingles, each with that share of its exchange's disk.
+PARTS = 2
+
+
+def crossing_pairs(texts: DataFrame, similarity: float) -> DataFrame:
+    """Candidates (a, b) of texts (node, comp, size, parities, prefix): every pair of different comp whose likeness reaches ``similarity``, and few others.
 
     Prefix filtering: in one order of all shingles, two sets of n and m with
-    such a likeness share one of the first n - ceil(similarity n) + 1 of the one and
-    of as many of the other. Sizes, places and parities of 256 bits bound the
-    likeness from above. Shingles with more than BLOCK entries are dealt in blocks.
+    such a likeness share d of the first n - ceil(similarity n) + d of the one and
+    of as many of the other. Large sets, which would share some by chance, are dealt
+    to more buckets than alike ones differ in, and meet if a bucket is equal. Sizes, places and parities of 256 bits bound the
+    likeness from above. Shingles with more than BLOCK entries are dealt in blocks;
+    those of one group alone are left out, as it is linked already.
     """
-    entries = texts.mapInArrow(_prefixes(shingle, similarity, *_common_hashes(texts, shingle)), _ENTRY)
-    hot = entries.groupBy("probe").agg(F.count("*").alias("n"), (F.min("comp") < F.max("comp")).alias("open")).where(F.col("n") > BLOCK)
-    hot = common.stored(hot.select("probe", F.when(F.col("open"), F.ceil(F.col("n") / BLOCK)).otherwise(0).cast("int").alias("blocks")), "hot", release=True)
+    spark = texts.sparkSession
+    # a task leaves out what it has but once, so this counts too few by the number of tasks at most: that deals
+    # some values in one piece that two would hold, and changes no result
+    hot = texts.select("comp", "prefix").mapInArrow(_repeated(), "probe long, n long, lo long, hi long")
+    hot = hot.groupBy("probe").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("n") > BLOCK)
+    hot = common.stored(hot.select("probe", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "hot")
     n_hot = hot.limit(10_001).count()
-    rest = [c for c in entries.columns if c != "probe"]
-    entries = entries.withColumn("side", F.lit(0).cast("byte"))
-    if n_hot:
-        split = entries.join(F.broadcast(hot) if n_hot <= 10_000 else hot, "probe", "left").where("blocks is null or blocks > 0")
-        own = F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")
-        block = lambda x: F.struct(F.xxhash64("probe", F.least(x, own), F.greatest(x, own)).alias("probe"), F.when(x == own, 0).when(x < own, 1).otherwise(2).cast("byte").alias("side"))
-        parts = F.when(F.col("blocks").isNull(), F.array(F.struct("probe", "side"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), block))
-        entries = split.withColumn("part", F.explode(parts)).select("part.probe", *rest, "part.side")
-    dealt = entries.repartition(common.partitions(texts.sparkSession), "probe").sortWithinPartitions("probe")
-    found = dealt.mapInArrow(_crossing(similarity), "a long, b long").distinct()
-    of = lambda *names: texts.select("node", "size", "parity").toDF(*names)
-    both = found.join(of("a", "m", "x"), "a").join(of("b", "n", "y"), "b").select("a", "b", "m", "n", "x", "y")
-    return both.mapInArrow(_possible(similarity), "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 12, similarity: float = 0.8) -> DataFrame:
+    found = None
+    for part in range(PARTS):
+        entries = texts.mapInArrow(_entries(part, PARTS), ", ".join(f"{c} long" for c in _ENTRY))
+        if n_hot:
+            split = entries.join(F.broadcast(hot) if n_hot <= 10_000 else hot, "probe", "left")
+            own = F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")
+            side = lambda x: F.when(x == own, 0).when(x < own, 1).otherwise(2).cast("long")  # noqa: B023, E731
+            block = lambda x: F.struct(F.xxhash64("probe", F.least(x, own), F.greatest(x, own)).alias("probe"), F.col("meta").bitwiseOR(side(x)).alias("meta"))  # noqa: B023, E731
+            parts = F.when(F.col("blocks").isNull(), F.array(F.struct("probe", "meta"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), block))
+            entries = split.withColumn("part", F.explode(parts)).select("part.probe", "node", "comp", "part.meta", *PARITY)
+        dealt = entries.repartition(common.partitions(spark), "probe").sortWithinPartitions("probe")
+        met = dealt.mapInArrow(_crossing(similarity), "a long, b long, n long, due long")
+        met = common.stored(met.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("due").alias("due")), f"crossing-{part}")
+        found = met if found is None else found.unionByName(met)
+    return found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("due").alias("due")).where("n >= due").select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 6, similarity: float = 0.8) -> DataFrame:
     """(doc_id, group_id) of each doc_id: groups of texts linked by word-shingle likeness.
 
     Two texts are linked if the Jaccard likeness of their sets of shingles,
     computed from the whole texts, is ``similarity`` at least; no link is lost.
     First come the texts whose fingerprints, over distinct shingles, differ in at
     most ``bits`` places, of each probe value the closest ones and a spanning
-    forest; this is only quick, not whole. Then every pair of texts of different
-    groups that prefix filtering can't rule out is verified. group_id is the smallest
+    forest; this gathers most copies, but isn't whole. Then every pair of texts of
+    different groups that prefix filtering can't rule out is verified. group_id is the smallest
     doc_id. Exact copies are always linked, null and wordless texts with each
     other; a null doc_id is in no group and has no row. Rows that repeat a doc_id are
-    one document, of the first text by order. Other columns are ignored.
+    one document, for which the text with the least hash speaks. Other columns are
+    ignored. An empty table gives no rows.
     """
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    copy = F.struct(F.xxhash64(F.coalesce("text", F.lit(""))).alias("x"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("y"))
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, min(256, batch.num_rows - at))
-                sets = [np.unique(shingle_hashes(words_of(x), shingle)) for x in part.column("text").to_pylist()]
-                some = np.array([len(s) > 0 for s in sets])  # wordless texts are copies of each other
-                x, y = (np.where(some, part.column(c).to_numpy(zero_copy_only=False), 0) for c in ("x", "y"))
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "x": pa.array(x), "y": pa.array(y), "fp": pa.array(_fingerprints(sets).view(np.int64))})
-
-    marked = own.withColumn("c", copy).select("doc_id", "text", "c.x", "c.y").mapInArrow(run, "doc_id long, x long, y long, fp long")
-    marked = common.stored(marked, "marked")
-    texts = common.stored(marked.groupBy("x", "y", "fp").agg(F.min("doc_id").alias("node")), "texts")
+    text = F.coalesce("text", F.lit(""))
+    hashed = own.select("doc_id", "text", F.xxhash64(text).alias("x"), F.crc32(text.cast("binary")).alias("y"))
+    marked = common.stored(hashed.mapInArrow(_marked(shingle, similarity, *_common_hashes(own, shingle)), _MARKED), "marked")
+    documents = marked.groupBy("doc_id").agg(F.min(F.struct("x", "y", "fp", "size", *PARITY)).alias("t")).select("doc_id", "t.*")
+    documents = common.stored(documents, "documents")
+    texts = documents.groupBy("x", "y", "fp", "size", *PARITY).agg(F.min("doc_id").alias("node"))
+    texts = common.stored(texts, "texts")
     classes = common.stored(texts.groupBy("fp").agg(F.min("node").alias("node")), "classes")
     n, both = bit_counts(classes)
     if not n:
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("doc_id").cast("long").alias("group_id")).limit(0)
+        return documents.select("doc_id", F.col("doc_id").alias("group_id"))
+
+    def of(side: str) -> DataFrame:
+        return texts.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("size", *PARITY)))
 
     def links(edges: DataFrame) -> DataFrame:
-        edges = common.stored(edges, "candidates", release=True)
+        """Of the candidates those that are links; sizes and parities rule out most of the others before the sets are compared."""
+        sizes = [F.col("a_size"), F.col("b_size")]
+        apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in PARITY[1:]), F.bit_count(F.col("a_p0").bitwiseXOR(F.col("b_p0"))))
+        fair = (F.least(*sizes) >= similarity * F.greatest(*sizes) - 1e-6) & (apart <= (sizes[0] + sizes[1]) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+        edges = common.stored(edges.join(of("a"), "a").join(of("b"), "b").where(fair).select("a", "b"), "candidates")
         ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-        sets = own.withColumnRenamed("doc_id", "node").join(ends, "node").mapInArrow(_sets(shingle), "node long, own binary")
-        sets = common.stored(sets.dropDuplicates(["node"]), "sets", release=True)
+        ends = common.stored(ends.join(texts.select("node", "x"), "node"), "ends")
+        if ends.limit(ENDS + 1).count() <= ENDS:
+            ends = F.broadcast(ends)
+        sets = hashed.select(F.col("doc_id").alias("node"), F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.col("x")).otherwise(F.lit(0)).cast("long").alias("x"), "text").join(ends, ["node", "x"])
+        sets = common.stored(sets.select("node", "text").mapInArrow(_sets(shingle), "node long, own binary").dropDuplicates(["node"]), "sets")
         sides = edges.join(sets.withColumnsRenamed({"node": "a", "own": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "own": "y"}), "b")
-        found = common.stored(sides.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long"), "links", release=True)
-        for file in sets.inputFiles()[:1]:  # as large as the texts, and done with
-            common.remove(docs.sparkSession, file.rsplit("/", 1)[0])
+        found = common.stored(sides.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long"), "links")
+        common.discard(sets)  # as large as the texts, and done with
         return found
 
     near = near_edges(classes, bits, plan(n, both, bits), closest=True)
-    of = classes.select(F.col("fp"), "node")
-    near = near.join(of.withColumnsRenamed({"fp": "a", "node": "na"}), "a").join(of.withColumnsRenamed({"fp": "b", "node": "nb"}), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    same = texts.join(of.withColumnRenamed("node", "least"), "fp").where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    least = classes.select("fp", "node")
+    near = near.join(least.withColumnsRenamed({"fp": "a", "node": "na"}), "a").join(least.withColumnsRenamed({"fp": "b", "node": "nb"}), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    same = texts.join(least.withColumnRenamed("node", "least"), "fp").where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     quick = links(near.unionByName(same))
-    nodes = texts.join(components(quick), "node", "left").select("node", F.coalesce("root", "node").alias("comp")).distinct()
-    apart = own.withColumnRenamed("doc_id", "node").join(nodes, "node").select("node", "comp", "text").mapInArrow(_parities(shingle), "node long, comp long, text string, size int, parity binary")
-    apart = common.stored(apart.dropDuplicates(["node"]), "apart", release=True)
-    comp = components(quick.unionByName(links(crossing_pairs(apart, shingle, similarity))))
+    nodes = texts.join(components(quick), "node", "left").select("x", "y", "fp", F.col("node").alias("doc_id"), F.coalesce("root", "node").alias("comp"))
+    # rows that repeat both doc_id and text stay, as their pairs are within one group
+    apart = marked.join(nodes, ["doc_id", "x", "y", "fp"]).select(F.col("doc_id").alias("node"), "comp", "size", *PARITY, "singles", "prefix")
+    apart = common.stored(apart, "apart")
+    common.discard(marked)
+    found = links(crossing_pairs(apart, similarity))
+    common.discard(apart)
+    comp = components(quick.unionByName(found))
     groups = texts.join(comp, "node", "left").select("x", "y", "fp", F.coalesce("root", "node").alias("group_id"))
-    return marked.join(groups, ["x", "y", "fp"]).select("doc_id", "group_id")
+    return documents.join(groups, ["x", "y", "fp"]).select("doc_id", "group_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, bits: int = 12, similarity: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, bits: int = 6, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns as they were, without those whose doc_id is not the smallest of its group."""
-    gone = near_duplicates(docs, shingle, bits, similarity).where("doc_id <> group_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = near_duplicates(docs, shingle, bits, similarity).where("doc_id <> group_id").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, docs.doc_id.cast("long") == F.col("__gone"), "left_anti")

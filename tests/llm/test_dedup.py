@@ -106,14 +106,38 @@ def test_containment(spark, docs, rows):
     got = [(r.doc_id, r.item_id, r.n_shingles, r.n_common) for r in decontaminate.contained_items(more, items).collect()]
     assert len(got) == len(set(got)) and set(got) == want and {80, 81} <= {x[0] for x in got}
     clean = decontaminate.decontaminated(more, items)
-    bad = {x[0] for x in want}
-    assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(i) for i, *_ in [*rows, *inserted] if i not in bad)
+    holds = lambda t: any(x and len(x & brute.plain_shingles(t, 5)) >= 0.8 * len(x) - 1e-9 for x in (brute.plain_shingles(x, 5) for x in texts.values()))
+    assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(i) for i, t, *_ in [*rows, *inserted] if not holds(t))
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    item = "one two three four five six seven eight"
+    rows = [(7, item + " more"), (7, "clean"), (None, "before " + item), (None, "clean too"), (None, None), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = decontaminate.decontaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [rows[1], rows[3], rows[4], rows[5]]))
+
+
+def test_only_sketches_make_candidates(spark, monkeypatch):
+    """A document with fewer than the sketch's due is no candidate, however many of the other shingles it has; those with enough all are."""
+    rng = np.random.default_rng(0)
+    words = [f"w{x}" for x in rng.integers(0, 1 << 40, 84)]
+    item = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    sets = spark.createDataFrame([(list(range(n)),) for n in (1, 2, 7, 8, 31, 80)], "all array<int>")
+    got = [(r.n_shingles, r.need, r.meet, r.sketch) for r in decontaminate.sketched(sets, 0.8).orderBy("n_shingles").collect()]
+    assert got == [(1, 1, 1, 1), (2, 2, 1, 1), (7, 6, 1, 2), (8, 7, 2, 3), (31, 25, 3, 9), (80, 64, 5, 21)]
+    seen = []
+    monkeypatch.setattr(decontaminate.common, "stored", lambda df, tag, f=decontaminate.common.stored: seen.append((tag, f(df, tag))) or seen[-1][1])
+    docs = [(cut, " ".join(words[cut:])) for cut in range(60)]
+    found = {r.doc_id for r in decontaminate.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), item).collect()}
+    candidates = {r.doc_id for r in dict(seen)["candidates"].collect()}
+    assert found == {cut for cut in range(60) if 80 - cut >= 64} and found <= candidates < set(range(60))
 
 
 def test_containment_beyond_the_broadcast_bound(monkeypatch, docs, rows, spark):
     items = spark.createDataFrame([(1, rows[6][1]), (2, rows[7][1])], "item_id long, text string")
     want = sorted(map(tuple, decontaminate.contained_items(docs, items).collect()))
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
     assert want and sorted(map(tuple, decontaminate.contained_items(docs, items).collect())) == want
 
 
@@ -225,3 +249,30 @@ def test_near_duplicates_among_candidates_that_fail(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "_fingerprints", lambda hashes: np.zeros(len(hashes), np.uint64))
     got, want = near_groups(spark, texts)
     assert all(want[i] == i - i % 2 for i in texts) and got == want
+
+
+def test_large_sets_meet_by_buckets(monkeypatch):
+    """Sets whose likeness reaches the threshold share a bucket's name or enough shingles of their prefixes, whatever their sizes."""
+    rng = np.random.default_rng(6)
+    for n in [int(x) for x in np.geomspace(330, 6000, 120)]:
+        out = 2 * n // 9  # differing shingles in all: a likeness of 0.8 just about
+        gone = int(rng.integers(0, out + 1))
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.r_[a[gone:], rng.integers(0, 1 << 63, out - gone, dtype=np.uint64)]
+        a, b = np.unique(a), np.unique(b)
+        if len(np.intersect1d(a, b)) < 0.8 * len(np.union1d(a, b)):
+            continue
+        (x, i), (y, j) = (simhash._met_by(s, np.zeros(len(s), np.int64), 0.8) for s in (a, b))
+        due = simhash._due(min(len(a), len(b)))
+        assert len(np.intersect1d(x[i:], y[j:])) or len(np.intersect1d(x[:i], y[:j])) >= due
+
+
+def test_sets_with_few_full_buckets_still_meet():
+    own = np.arange(401, dtype=np.uint64)
+    real = simhash.common.mixed
+    try:  # all in one bucket: the division fails, and says so by a name that all such sets share
+        simhash.common.mixed = lambda x: real(x) if len(x) == 1 else np.zeros_like(x)
+        a, b = simhash._buckets(own, 0.8), simhash._buckets(own[:-1], 0.8)
+    finally:
+        simhash.common.mixed = real
+    assert len(np.intersect1d(a, b))

@@ -155,6 +155,17 @@ def test_pipeline(spark, tmp_path, sf_dir):
     assert counts[0] < spark.read.parquet(f"{sf_dir}/documents.parquet").count() and counts[1] < counts[0] and counts[3] <= counts[2]
 
 
+def test_passage_stage_keeps_genuine_characters(spark, sf_dir):
+    import corpus_pipeline
+
+    passage = "é" + " ".join(f"word{i}" for i in range(60)) + "é"
+    rows = [(1, passage, "en", "s", 0), (2, "keep \ufffd here é" + passage[1:-1] + "ü end", "en", "s", 0), (3, None, None, None, None), (4, "", "en", "s", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.passage_dedup(spark, docs, sf_dir).collect()}
+    assert got[1].text == passage and got[2].text == "keep \ufffd here  end"  # both broken characters go, the one meant stays
+    assert got[2].n_chars == len(got[2].text) and got[3].text is None and got[3].n_chars is None and got[4].text == "" and got[4].n_chars == 0
+
+
 def test_library_lives_without_this_subpackage(tmp_path):
     import shutil
     import subprocess
