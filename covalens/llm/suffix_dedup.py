@@ -260,7 +260,16 @@ def _second(length, buckets, part):
     return send
 
 
-def _last(length, buckets):
+def _whole_characters(data: np.ndarray, dead: np.ndarray) -> np.ndarray:
+    """``dead`` and the other bytes of characters that lose a byte."""
+    heads = np.flatnonzero((data & 0xC0) != 0x80)
+    if not len(heads):
+        return dead
+    broken = np.logical_or.reduceat(dead[heads[0] :], heads - heads[0])
+    return np.r_[dead[: heads[0]], np.repeat(broken, np.diff(np.r_[heads, len(data)]))]
+
+
+def _last(length, buckets, whole):
     def cut(key, blobs, replies):
         rows = replies.to_pylist()
         texts, data, offsets, keys, r0, r1, gone, start, owner, lo, hi, first, to = _state(blobs, rows, length, buckets)
@@ -273,14 +282,16 @@ def _last(length, buckets):
         np.add.at(edge, hit, 1)
         np.add.at(edge, np.minimum(hit + length, len(data)), -1)
         dead = np.cumsum(edge[:-1], dtype=np.int32) > 0
+        lost = _whole_characters(data, dead) if whole else dead
+        none = texts["text"].is_null().to_pylist()
         removed, spans, sha, kept = [], [], [], []
-        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+        for a, b, null in zip(offsets[:-1], offsets[1:], none, strict=True):
             d = dead[a:b]
             removed.append(int(d.sum()))
             spans.append(int((d[1:] & ~d[:-1]).sum() + d[0]) if b > a else 0)
             rest = data[a:b][~d].tobytes() if removed[-1] else data[a:b].tobytes()
             sha.append(hashlib.sha256(rest).hexdigest())
-            kept.append(rest)
+            kept.append(None if whole and null else data[a:b][~lost[a:b]].tobytes() if whole and removed[-1] else rest)
         ids = texts["doc_id"]
         rest = {"rest": texts["rest"]} if "rest" in texts.column_names else {}
         return pa.table({"doc_id": ids.cast(pa.int64()), "n_bytes": pa.array(np.diff(offsets), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "kept": pa.array(kept, pa.binary()), **rest})
@@ -288,13 +299,15 @@ def _last(length, buckets):
     return cut
 
 
-def suffix_dedup(docs: DataFrame, length: int = 50, keep: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 50, keep: bool = True, carry: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
     """Removes each byte covered by a ``length``-byte string that also starts in a smaller document.
 
     Takes doc_id and text; other columns are ignored, but for those of
     ``carry``, which come back in a struct named rest. Returns doc_id, n_bytes,
     n_removed, n_spans, kept_sha256 and, with ``keep``, kept: the remaining
-    bytes (binary, as a cut may fall inside a character). One row for each input
+    bytes (binary, as a cut may fall inside a character). With ``whole``, kept
+    lacks characters of which a byte is removed, too, and is null for a null
+    text; nothing else depends on it. One row for each input
     row. Null and empty texts have nothing to remove; texts shorter than
     ``length`` stay whole. Rows that repeat a doc_id don't match each other,
     and a null doc_id counts as the largest one. An empty table gives no rows.
@@ -309,12 +322,12 @@ def suffix_dedup(docs: DataFrame, length: int = 50, keep: bool = True, carry: tu
     # dealt once, for all passes
     blobs = common.dealt_texts(docs, group, key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([rest] if carry else []))
     by = lambda df: df.groupBy("grp")
-    answered = lambda blocks, tag: common.stored(blocks.groupBy("kind", "bucket").applyInArrow(_answer, REPLY), tag, release=True)
+    answered = lambda blocks, tag: common.stored(blocks.groupBy("kind", "bucket").applyInArrow(_answer, REPLY), tag)
     one = answered(by(blobs).applyInArrow(_first(length, ranges), BLOCK), "runs")
     replies = one
     for part in range(PARTS):
         replies = replies.unionByName(answered(by(blobs).cogroup(by(one)).applyInArrow(_second(length, ranges, part), BLOCK), f"starts-{part}"))
     columns = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     columns = T.StructType([*columns.fields, *(docs.select(rest).schema.fields if carry else [])])
-    out = by(blobs).cogroup(by(replies)).applyInArrow(_last(length, ranges), columns)
+    out = by(blobs).cogroup(by(replies)).applyInArrow(_last(length, ranges, whole), columns)
     return out if keep else out.drop("kept")
