@@ -62,16 +62,18 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
 
     Where the negative part of the risk falls below 0 a step only undoes that part.
     """
-    x = np.vstack([positive, unlabelled]).astype(np.float64)
-    mean, sd = x.mean(axis=0), x.std(axis=0) + 1e-3
-    x = np.hstack([(x - mean) / sd, np.ones((len(x), 1))])
+    x = np.empty((len(positive) + len(unlabelled), positive.shape[1] + 1), np.float32)  # the only copy: the driver has little room
+    x[: len(positive), :-1], x[len(positive) :, :-1], x[:, -1] = positive, unlabelled, 1
+    mean, sd = x[:, :-1].mean(axis=0, dtype=np.float64), x[:, :-1].std(axis=0, dtype=np.float64) + 1e-3
+    x[:, :-1] -= mean.astype(np.float32)
+    x[:, :-1] /= sd.astype(np.float32)
     p, u = x[: len(positive)], x[len(positive) :]
     w, m, v = (np.zeros(x.shape[1]) for _ in range(3))
     for t in range(1, steps + 1):
-        zp, zu = p @ w, u @ w
+        zp, zu = (y @ w.astype(np.float32) for y in (p, u))
         sp, su = 1 / (1 + np.exp(-np.clip(zp, -30, 30))), 1 / (1 + np.exp(-np.clip(zu, -30, 30)))
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_neg = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
+        g_neg = (u.T @ su / len(u) - prior * (p.T @ sp) / len(p)).astype(np.float64)
         g = prior * (p.T @ (sp - 1)) / len(p) + g_neg if negative >= 0 else -g_neg
         g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -88,7 +90,8 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", bound: in
     """Weights and class prior, from labels whose crc32(doc_id) mod 5 is not 0.
 
     At most ``bound`` positives and ``bound`` unlabelled documents of those
-    remainders are used, those with the least hashes of doc_id; the prior is the
+    remainders are used, those with the least hashes of doc_id, of rows that
+    repeat a doc_id the one with the least text; the prior is the
     share of positives among all labels of those remainders. A document labelled
     twice counts as positive if any label is. Without positives there are no
     weights, and the prior is 0.5 if there are no labels.
@@ -101,9 +104,10 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", bound: in
         return None, prior
     order = F.xxhash64("doc_id", F.lit(7))
     chosen = labels.where("y = 1").select("doc_id", F.lit(1).alias("pos")).orderBy(order, "doc_id").limit(bound)
-    others = docs.where(mine).select("doc_id", F.lit(0).alias("pos")).orderBy(order, "doc_id").limit(bound)
+    others = docs.where(mine).select("doc_id", F.lit(0).alias("pos")).distinct().orderBy(order, "doc_id").limit(bound)
     picked = F.broadcast(chosen.unionByName(others))  # two times the bound at most
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(picked, "doc_id").select("pos", "text")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(picked, "doc_id")
+    rows = rows.groupBy("doc_id", "pos").agg(F.min("text").alias("text")).select("pos", "text")  # one of the rows that repeat a doc_id
 
     def run(batches):
         for batch in batches:
@@ -111,9 +115,10 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", bound: in
                 x = features(batch.column("text")[at : at + 256])
                 yield pa.record_batch({"pos": batch.column("pos")[at : at + 256], "x": common.binaries(list(x))})
 
-    got = rows.mapInArrow(run, "pos int, x binary").collect()
-    x = np.frombuffer(b"".join(bytes(r.x) for r in got), np.float32).reshape(-1, WIDTH)
-    pos = np.array([r.pos for r in got]) == 1
+    got = rows.mapInArrow(run, "pos int, x binary").toArrow()
+    body, _ = common.flat(got.column("x"))
+    x = body.view(np.float32).reshape(-1, WIDTH)
+    pos = got.column("pos").to_numpy() == 1
     if not pos.any():
         return None, prior
     return fit_nnpu(x[pos], x[~pos] if (~pos).any() else x, min(prior, 0.999)), prior
