@@ -24,25 +24,24 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group: shingles of five words, likeness of 0.8."""
     ship(spark)
-    return simhash.one_of_each(docs, shingle=5, bits=12, similarity=0.8)
+    return simhash.one_of_each(docs, shingle=5, bits=6, similarity=0.8)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that a document with a smaller doc_id has, and counts the code points anew.
 
-    A character that a cut leaves in pieces goes. Null texts stay null.
+    A character that a cut leaves in pieces goes, and no other. Null texts stay null.
     """
     ship(spark)
-    others = [c for c in docs.columns if c not in ("doc_id", "n_chars")]
-    cut = suffix_dedup.suffix_dedup(docs, PASSAGE_BYTES, carry=tuple(others))
-    text = F.when(F.col("n_removed") > 0, F.regexp_replace(F.try_validate_utf8(F.make_valid_utf8(F.col("kept").cast("string"))), "�", "")).otherwise(F.col("rest.text"))
-    out = cut.withColumn("__t", text)
-    columns = {"doc_id": F.col("doc_id"), "text": F.col("__t"), "n_chars": F.char_length("__t").cast("long")}
-    return out.select(*[(columns[c] if c in columns else F.col(f"rest.{c}")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    cut = suffix_dedup.suffix_dedup(docs, PASSAGE_BYTES, carry=others, whole=True)
+    text = F.col("kept").cast("string")
+    columns = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.char_length(text).cast("long")}
+    return cut.select(*[(columns[c] if c in columns else F.col(f"rest.{c}")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that contain a benchmark item: 0.8 of its five-word shingles."""
+    """Drops the rows whose text contains a benchmark item: 0.8 of its five-word shingles."""
     return decontaminate.decontaminated(docs, common.table(spark, sf_dir, "benchmark"), k=5, threshold=0.8)
 
 
