@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from covalens.plans import record_queries, source_queries
 from covalens.plans.queries import ORACLES, QUERIES
 
 FLAGSHIP = "interval_coverage"
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "record_queries", "source_queries"]

@@ -29,9 +29,13 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 def work_path(spark: SparkSession, tag: str) -> str:
-    """A new folder in the shared place that spark.checkpoint.dir names; a local one only where that is unset."""
+    """A new folder in the shared place that spark.checkpoint.dir names; only a local session may do without one."""
+    import re
     import tempfile
     import uuid
 
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    where = where or tempfile.gettempdir()
     return f"{where.rstrip('/')}/covalens/{uuid.uuid4().hex}/{tag}"
