@@ -443,11 +443,11 @@ def reverse_complement(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", sequence.reverse_complement(F.col("text")).alias("rc"))
 
 
-@query("""with c as (select p_brand || '-' || cast(p_size as varchar) as seq, count(*) as n from part where p_size >= 10 group by 1),
+@query("""with c as (select p_brand || '-' || cast(p_size as varchar) as seq, count(*) as n from part group by 1),
     m as (select s.seq, first(b.seq order by b.n desc, b.seq) as big from c s join c b on b.n > 1 and length(b.seq) = length(s.seq) and hamming(s.seq, b.seq) = 1 where s.n = 1 group by 1)
     select coalesce(m.big, c.seq) as seq, cast(sum(c.n) as bigint) as n from c left join m on c.seq = m.seq group by 1""")
 def hamming_collapse(spark, sf_dir):
-    df = table(spark, sf_dir, "part").where("p_size >= 10").select(F.concat("p_brand", F.lit("-"), F.col("p_size").cast("string")).alias("seq"))
+    df = table(spark, sf_dir, "part").select(F.concat("p_brand", F.lit("-"), F.col("p_size").cast("string")).alias("seq"))
     return align.collapsed(df, "seq")
 
 
@@ -517,13 +517,14 @@ def session_stream(spark, sf_dir):
 # --- structural evidence and metrics
 
 
-@query("""select l_suppkey % 5 as contig, cast((l_partkey * 7 - 1) // 500 * 500 + 1 as bigint) as start_pos, least(cast((l_partkey * 7 - 1) // 500 * 500 + 500 as bigint), 10000) as end_pos,
-    count(*) filter (l_returnflag = 'A') as a, count(*) filter (l_returnflag = 'N') as n, count(*) filter (l_returnflag = 'R') as r from lineitem where l_partkey between 1 and 1428 group by 1, 2, 3""")
+@query("""with g as (select l_suppkey % 5 as contig, max(l_partkey * 7 + 1) as length from lineitem group by 1)
+    select g.contig, cast(l_partkey * 7 // 500 * 500 + 1 as bigint) as start_pos, least(cast(l_partkey * 7 // 500 * 500 + 500 as bigint), any_value(g.length)) as end_pos,
+    count(*) filter (l_returnflag = 'A') as a, count(*) filter (l_returnflag = 'N') as n, count(*) filter (l_returnflag = 'R') as r from lineitem join g on l_suppkey % 5 = g.contig group by g.contig, l_partkey * 7 // 500""")
 def copy_number_counts(spark, sf_dir):
     from covalens.operators import structural
 
-    df = table(spark, sf_dir, "lineitem").where("l_partkey between 1 and 1428").select((F.col("l_suppkey") % 5).alias("contig"), (F.col("l_partkey") * 7).alias("at"), "l_returnflag")
-    lengths = spark.range(5).select(F.col("id").alias("contig"), F.lit(10_000).cast("long").alias("length"))
+    df = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 5).alias("contig"), (F.col("l_partkey") * 7 + 1).alias("at"), "l_returnflag")
+    lengths = df.groupBy("contig").agg(F.max("at").alias("length"))
     out = structural.copy_number_windows(df, "contig", "at", "l_returnflag", 500, lengths, ["A", "N", "R"])
     return out.withColumnsRenamed({"start": "start_pos", "end": "end_pos", "A": "a", "N": "n", "R": "r"})
 
@@ -552,13 +553,13 @@ def histogram_chi_square(spark, sf_dir):
 
 
 @query("""with s as (select o_orderkey as id, o_orderpriority as ca, date_diff('day', date '1992-01-01', cast(o_orderdate as date)) as a, o_orderstatus as cb, cast(floor(o_totalprice / 100) as bigint) as b from orders)
-    select x.id as clip, y.id as cluster from s x join s y on x.ca = y.ca and x.cb = y.cb and abs(x.a - y.a) <= 3 and abs(x.b - y.b) <= 3 where x.id % 4 = 0 and y.id % 4 = 1""")
+    select x.id as clip, y.id as cluster from s x join s y on x.ca = y.ca and x.cb = y.cb and abs(x.a - y.a) <= 3 and abs(x.b - y.b) <= 3 where x.id % 2 = 0 and y.id % 2 = 1""")
 def evidence_join(spark, sf_dir):
     from covalens.operators import structural
 
     day = F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01").cast("date")).cast("long")
     s = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("contig_a"), day.alias("a"), F.col("o_orderstatus").alias("contig_b"), F.floor(F.col("o_totalprice") / 100).alias("b"))
-    return structural.evidence(s.where("id % 4 = 0"), s.where("id % 4 = 1"), 3).select("clip", "cluster")
+    return structural.evidence(s.where("id % 2 = 0"), s.where("id % 2 = 1"), 3).select("clip", "cluster")
 
 
 @query("""with g as (select l_returnflag as f, cast(l_linenumber % 4 as varchar) || '/' || cast(l_partkey % 4 as varchar) as c, cast(l_suppkey % 3 as varchar) || '/' || cast(l_orderkey % 3 as varchar) as t, l_linenumber % 4 as c0, l_partkey % 4 as c1, l_suppkey % 3 as t0, l_orderkey % 3 as t1 from lineitem)
