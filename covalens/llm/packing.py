@@ -73,8 +73,7 @@ def packed(docs: DataFrame, sizes: tuple[int, ...] = SIZES, length: Column | Non
 
     ``length`` gives a document's tokens, its words and an end token unless
     told otherwise; other columns are ignored. A document longer than the
-    largest size is cut into pieces of that size and a rest; the pieces that
-    fill a bin alone need no packing. Null, negative and zero lengths make one
+    largest size is cut into pieces of that size and a rest. Null, negative and zero lengths make one
     piece of no tokens, which goes to any bin. Each row is packed, rows that
     repeat a doc_id too. Blocks of at most ``block`` pieces are packed apart;
     bin_id is (partition, block, bin) as text. An empty table gives no rows.
@@ -82,7 +81,8 @@ def packed(docs: DataFrame, sizes: tuple[int, ...] = SIZES, length: Column | Non
     top = max(sizes)
     n = F.greatest(F.coalesce((token_count(F.col("text")) if length is None else length).cast("long"), F.lit(0)), F.lit(0))
     lengths = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n"))
-    lengths = lengths.repartition(common.partitions(docs.sparkSession), "doc_id", "n")
+    # sorted, so that blocks, and with them bins, are the same when a lost task is run again
+    lengths = lengths.repartition(common.partitions(docs.sparkSession), "doc_id", "n").sortWithinPartitions("doc_id", "n")
     lengths = lengths.select("doc_id", "n", F.spark_partition_id().alias("part"))
 
     def flush(ids, lens, part, k):

@@ -82,6 +82,28 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     return np.append(own, w[-1] - mean @ own)
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, least: int = 40, recall: float = 0.3) -> float:
+    """The share of positives among the unlabelled, of positive and unlabelled features alone.
+
+    For any set S, U(S) >= prior x P(S), so the least ratio of U(S) to P(S) bounds
+    the prior, and meets it where S holds positives only. S are the texts above a
+    score that the other half of the data has taught, at thresholds that keep
+    ``recall`` of the positives at least. 0.5 with fewer than ``least`` texts of a kind.
+    """
+    if min(len(positive), len(unlabelled)) < least:
+        return 0.5
+    found = []
+    for half in (0, 1):
+        w = fit_nnpu(positive[half::2], unlabelled[half::2], 0.5, steps=200)
+        p, u = (np.sort(x[1 - half :: 2] @ w[:-1].astype(np.float32)) for x in (positive, unlabelled))
+        at = np.quantile(p, np.linspace(0, 1 - recall, 41))
+        above = lambda x: len(x) - np.searchsorted(x, at)  # noqa: E731, B023
+        # an upper bound of U(S) by a standard error, so that small sets don't win by chance
+        share = above(u) / len(u)
+        found.append(((share + np.sqrt(share * (1 - share) / len(u))) / (above(p) / len(p))).min())
+    return float(np.clip(np.mean(found), 0.01, 0.99))
+
+
 def held_out(doc_id, modulus: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
@@ -91,17 +113,16 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", bound: in
 
     At most ``bound`` positives and ``bound`` unlabelled documents of those
     remainders are used, those with the least hashes of doc_id, of rows that
-    repeat a doc_id the one with the least text; the prior is the
-    share of positives among all labels of those remainders. A document labelled
-    twice counts as positive if any label is. Without positives there are no
-    weights, and the prior is 0.5 if there are no labels.
+    repeat a doc_id the one with the least text; the class prior is estimated
+    from these. A document labelled twice counts as positive if any label is;
+    negative labels teach nothing. Without positives there are no weights, and
+    the prior is 0, or 0.5 if there are no labels.
     """
     mine = held_out(F.col("doc_id"), 5) != 0
     labels = labels.where(F.col(column).isNotNull() & mine).groupBy("doc_id").agg(F.max(column).alias("y"))
     total, ones = labels.agg(F.count("*"), F.sum((F.col("y") == 1).cast("int"))).first()
-    prior = ones / total if total else 0.5
     if not ones:
-        return None, prior
+        return None, 0.0 if total else 0.5
     order = F.xxhash64("doc_id", F.lit(7))
     chosen = labels.where("y = 1").select("doc_id", F.lit(1).alias("pos")).orderBy(order, "doc_id").limit(bound)
     others = docs.where(mine).select("doc_id", F.lit(0).alias("pos")).distinct().orderBy(order, "doc_id").limit(bound)
@@ -120,8 +141,10 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", bound: in
     x = body.view(np.float32).reshape(-1, WIDTH)
     pos = got.column("pos").to_numpy() == 1
     if not pos.any():
-        return None, prior
-    return fit_nnpu(x[pos], x[~pos] if (~pos).any() else x, min(prior, 0.999)), prior
+        return None, 0.5
+    other = x[~pos] if (~pos).any() else x
+    prior = estimated_prior(x[pos], other)
+    return fit_nnpu(x[pos], other, prior), prior
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, bound: int = 8000) -> DataFrame:

@@ -133,3 +133,22 @@ def test_bit_slices_are_bloom_filters():
     assert abs(share - filters.chance()[0]) < 0.002
     counts = filters.counts(np.concatenate([own[1], strange]), np.array([0, 0, 60, 20_060]))
     assert counts[0].sum() == 0 and counts[1].argmax() == 1 and counts[2].max() < 100
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.85])
+def test_prior_from_positives_and_unlabelled_alone(prior):
+    rng = np.random.default_rng(int(prior * 100))
+    good = lambda n: rng.normal(1.5, 1, (n, 6))
+    bad = lambda n: rng.normal(-1.5, 1, (n, 6))
+    mixed = np.vstack([good(int(4000 * prior)), bad(4000 - int(4000 * prior))])
+    rng.shuffle(mixed)
+    assert abs(quality.estimated_prior(good(3000).astype(np.float32), mixed.astype(np.float32)) - prior) < 0.06
+    assert quality.estimated_prior(good(10).astype(np.float32), mixed.astype(np.float32)) == 0.5
+
+
+def test_a_repeated_doc_id_trains_once(spark):
+    rows = [(i, f"some fine words in text {i} . " * 5, "en") for i in range(60)] + [(7, f"copy {i}", "en") for i in range(3000)]
+    labels = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")
+    w, _ = quality.train(small_table(spark, rows), labels)
+    v, _ = quality.train(small_table(spark, [r for r in rows if r[0] != 7] + [min(r for r in rows if r[0] == 7)]), labels)
+    assert np.allclose(w, v)
