@@ -340,61 +340,12 @@ def _due(size):
     return 1 + size // 50
 
 
-#: Sets from this size on meet by the contents of buckets; single shingles of larger sets meet too often by chance.
-LARGE = 400
-
-
-def _class_ends(similarity: float, largest: int) -> list[int]:
-    """Size classes from LARGE on, each 1 / similarity times the one before: alike sets are of one class or of neighbouring ones."""
-    ends = [LARGE]
-    while ends[-1] <= largest or len(ends) < 3:
-        ends.append(max(ends[-1] + 1, math.ceil(LARGE / similarity ** len(ends))))
-    return [*ends, math.ceil(LARGE / similarity ** len(ends)), math.ceil(LARGE / similarity ** (len(ends) + 1))]
-
-
-def _buckets(own: np.ndarray, similarity: float) -> np.ndarray:
-    """Names of what the set holds in each bucket, in the division for its size class and in that of the class below.
-
-    Alike sets differ in at most k shingles. Dealt to more than k buckets, they
-    are equal in one of the buckets that are not empty, if there are over k of
-    these in either set; sets that have fewer meet by a name of their own.
-    """
-    ends = _class_ends(similarity, len(own))
-    mine = max(i for i, end in enumerate(ends) if end <= len(own))
-    names = []
-    for j in (mine, mine - 1):
-        if j < 0:
-            continue
-        k = math.floor((ends[j + 1] + ends[j + 2] - 2) * (1 - similarity) / (1 + similarity) + 1e-9)
-        n = math.ceil(1.15 * (k + 1))
-        salt = common.u64(j + 1)
-        bucket = (common.mixed(own + salt) % common.u64(n)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        bucket = bucket[order]
-        at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        held = np.add.reduceat(common.mixed(own[order] ^ common.u64(0x9E3779B97F4A7C15)), at)
-        names.append(common.paired(held, bucket[at].astype(np.uint64), j + 1))
-        if len(at) <= k:
-            names.append(common.mixed(np.array([common.u64(0xB10C) + salt])))
-    return np.concatenate(names)
-
-
-def _met_by(own: np.ndarray, weight: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
-    """The names by which a set meets those like it, and how many of them are single shingles, the first of a prefix."""
-    n = len(own)
-    least = math.ceil(similarity * n - 1e-9)
-    prefix = own[np.lexsort((own, weight))][: n - least + _due(n)] if least <= LARGE else own[:0]  # none of an empty set
-    if n < LARGE:
-        return prefix, len(prefix)
-    return np.concatenate([prefix, _buckets(own, similarity)]), len(prefix)
-
-
 #: Of each set's shingles, whether an odd number of their hashes falls on each of 256 bits.
 PARITY = [f"p{i}" for i in range(4)]
 
 
 def _marked(shingle: int, similarity: float, common_hashes: np.ndarray, weight: np.ndarray):
-    """Adds to each text its fingerprint, its set's size and parities, and its prefix: the names by which it meets others, single shingles before buckets."""
+    """Adds to each text its fingerprint, its set's size and parities, and its prefix: the first shingles in one order for all, rare ones first."""
 
     def run(batches):
         for batch in batches:
@@ -403,31 +354,29 @@ def _marked(shingle: int, similarity: float, common_hashes: np.ndarray, weight:
                 sets = [np.unique(shingle_hashes(words_of(x), shingle)) for x in part.column("text").to_pylist()]
                 some = np.array([len(s) > 0 for s in sets])  # wordless texts are copies of each other
                 x, y = (np.where(some, part.column(c).to_numpy(zero_copy_only=False), 0) for c in ("x", "y"))
-                prefix, singles, parity = [], [], []
+                prefix, parity = [], []
                 for own in sets:
                     w = np.zeros(len(own), np.int64)
                     if len(common_hashes):
                         place = np.minimum(np.searchsorted(common_hashes, own), len(common_hashes) - 1)
                         w = np.where(common_hashes[place] == own, weight[place], 0)
-                    names, single = _met_by(own, w, similarity)
-                    prefix.append(names)
-                    singles.append(single)
+                    prefix.append(own[np.lexsort((own, w))][: len(own) - math.ceil(similarity * len(own) - 1e-9) + _due(len(own))])  # none of an empty set
                     odd = np.bincount((own >> np.uint64(17) & np.uint64(255)).astype(np.int64), minlength=256) & 1
                     parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 out = {"doc_id": part.column("doc_id"), "x": pa.array(x), "y": pa.array(y), "fp": pa.array(_fingerprints(sets).view(np.int64)), "size": pa.array([len(s) for s in sets], pa.int64())}
                 out |= {c: pa.array(np.ascontiguousarray(v)) for c, v in zip(PARITY, np.array(parity).T, strict=True)}
-                yield pa.record_batch(out | {"singles": pa.array(singles, pa.int64()), "prefix": common.binaries(prefix)})
+                yield pa.record_batch(out | {"prefix": common.binaries(prefix)})
         common.give_back()
 
     return run
 
 
-_MARKED = f"doc_id long, x long, y long, fp long, size long, {', '.join(f'{c} long' for c in PARITY)}, singles long, prefix binary"
+_MARKED = f"doc_id long, x long, y long, fp long, size long, {', '.join(f'{c} long' for c in PARITY)}, prefix binary"
 _ENTRY = ["probe", "node", "comp", "meta", *PARITY]
 
 
 def _entries(part: int, parts: int):
-    """One row for each name of a prefix that falls to ``part``; meta is the set's size, the shingle's place (0: a bucket; else from 1) and a side."""
+    """One row for each shingle of a prefix that falls to ``part``; meta is the set's size, the shingle's place and a side."""
 
     def run(batches):
         for batch in batches:
@@ -437,8 +386,7 @@ def _entries(part: int, parts: int):
                 n = np.array([len(t) for t in tokens[at : at + 512]])
                 probe = np.concatenate(tokens[at : at + 512])
                 each = np.repeat(np.arange(at, at + len(n)), n)
-                pos = np.arange(1, len(each) + 1) - np.repeat(np.cumsum(n) - n, n)
-                pos[pos > column("singles")[each]] = 0
+                pos = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
                 mine = probe % np.uint64(parts) == part
                 probe, each, pos = probe[mine], each[mine], pos[mine]
                 out = [probe.view(np.int64), column("node")[each], column("comp")[each], column("size")[each] << 34 | pos << 4, *(column(c)[each] for c in PARITY)]
@@ -492,11 +440,9 @@ def _crossing(similarity: float):
         while len(idx := idx[after[idx] + d < end[idx]]):
             x, y = idx, after[idx] + d
             need = similarity / (1 + similarity) * (size[x] + size[y]) - 1e-6
-            # a bucket is enough; the first common shingle of a pair has all others behind it, the last one due as many less
-            bucket = (pos[x] == 0) & (pos[y] == 0)
-            due = np.where(bucket, 0, _due(np.minimum(size[x], size[y])))
-            behind = np.where(bucket, np.minimum(size[x], size[y]), np.minimum(size[x] - pos[x], size[y] - pos[y]) + due)
-            fine = ((side[x] == 0) | (side[x] != side[y])) & (behind >= need)
+            due = _due(np.minimum(size[x], size[y]))
+            # the first common shingle of a pair has all others behind it, the last one due as many less
+            fine = ((side[x] == 0) | (side[x] != side[y])) & (np.minimum(size[x] - pos[x], size[y] - pos[y]) >= need - (due - 1))
             x, y, need, due = x[fine], y[fine], need[fine], due[fine]
             # bits of odd counts that differ are at most as many as the shingles of one set alone
             fine = np.bitwise_count(parity[x] ^ parity[y]).sum(axis=1, dtype=np.int64) <= size[x] + size[y] - 2 * need
@@ -527,11 +473,11 @@ def _crossing(similarity: float):
 
 
 #: So many texts tell which shingles are common; only the order of the prefixes depends on them, not what is found.
-SAMPLED, COMMON = 8_000, 100_000
+SAMPLED, COMMON = 40_000, 400_000
 
 
 def _common_hashes(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, that several of some 8,000 texts have, and how many of these."""
+    """Hashes, sorted, that several of some SAMPLED texts have, and how many of these."""
 
     def run(batches):
         for batch in batches:
@@ -558,8 +504,8 @@ def crossing_pairs(texts: DataFrame, similarity: float) -> DataFrame:
 
     Prefix filtering: in one order of all shingles, two sets of n and m with
     such a likeness share d of the first n - ceil(similarity n) + d of the one and
-    of as many of the other. Large sets, which would share some by chance, are dealt
-    to more buckets than alike ones differ in, and meet if a bucket is equal. Sizes, places and parities of 256 bits bound the
+    of as many of the other; d grows with the size, so that large sets don't meet by
+    chance. Sizes, places and parities of 256 bits bound the
     likeness from above. Shingles with more than BLOCK entries are dealt in blocks;
     those of one group alone are left out, as it is linked already.
     """
@@ -582,9 +528,9 @@ def crossing_pairs(texts: DataFrame, similarity: float) -> DataFrame:
             entries = split.withColumn("part", F.explode(parts)).select("part.probe", "node", "comp", "part.meta", *PARITY)
         dealt = entries.repartition(common.partitions(spark), "probe").sortWithinPartitions("probe")
         met = dealt.mapInArrow(_crossing(similarity), "a long, b long, n long, due long")
-        met = common.stored(met.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("due").alias("due")), f"crossing-{part}")
+        met = common.stored(met.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("due").alias("due")), f"crossing-{part}")
         found = met if found is None else found.unionByName(met)
-    return found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("due").alias("due")).where("n >= due").select("a", "b")
+    return found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("due").alias("due")).where("n >= due").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 6, similarity: float = 0.8) -> DataFrame:
@@ -641,7 +587,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 6, similarity
     quick = links(near.unionByName(same))
     nodes = texts.join(components(quick), "node", "left").select("x", "y", "fp", F.col("node").alias("doc_id"), F.coalesce("root", "node").alias("comp"))
     # rows that repeat both doc_id and text stay, as their pairs are within one group
-    apart = marked.join(nodes, ["doc_id", "x", "y", "fp"]).select(F.col("doc_id").alias("node"), "comp", "size", *PARITY, "singles", "prefix")
+    apart = marked.join(nodes, ["doc_id", "x", "y", "fp"]).select(F.col("doc_id").alias("node"), "comp", "size", *PARITY, "prefix")
     apart = common.stored(apart, "apart")
     common.discard(marked)
     found = links(crossing_pairs(apart, similarity))

@@ -1,6 +1,7 @@
 """Suffix-array dedup, SimHash, containment search and winnowing against plain versions."""
 
 import hashlib
+import math
 
 import brute
 import numpy as np
@@ -251,28 +252,19 @@ def test_near_duplicates_among_candidates_that_fail(spark, monkeypatch, block):
     assert all(want[i] == i - i % 2 for i in texts) and got == want
 
 
-def test_large_sets_meet_by_buckets(monkeypatch):
-    """Sets whose likeness reaches the threshold share a bucket's name or enough shingles of their prefixes, whatever their sizes."""
+def test_alike_sets_share_what_is_due():
+    """Sets whose likeness reaches the threshold share enough shingles of their prefixes, whatever their sizes and the order."""
     rng = np.random.default_rng(6)
-    for n in [int(x) for x in np.geomspace(330, 6000, 120)]:
+    met = 0
+    for n in [int(x) for x in np.geomspace(3, 6000, 200)]:
         out = 2 * n // 9  # differing shingles in all: a likeness of 0.8 just about
         gone = int(rng.integers(0, out + 1))
-        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
-        b = np.r_[a[gone:], rng.integers(0, 1 << 63, out - gone, dtype=np.uint64)]
-        a, b = np.unique(a), np.unique(b)
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.r_[rng.permutation(a)[gone:], rng.integers(0, 1 << 63, out - gone, dtype=np.uint64)])
         if len(np.intersect1d(a, b)) < 0.8 * len(np.union1d(a, b)):
             continue
-        (x, i), (y, j) = (simhash._met_by(s, np.zeros(len(s), np.int64), 0.8) for s in (a, b))
-        due = simhash._due(min(len(a), len(b)))
-        assert len(np.intersect1d(x[i:], y[j:])) or len(np.intersect1d(x[:i], y[:j])) >= due
-
-
-def test_sets_with_few_full_buckets_still_meet():
-    own = np.arange(401, dtype=np.uint64)
-    real = simhash.common.mixed
-    try:  # all in one bucket: the division fails, and says so by a name that all such sets share
-        simhash.common.mixed = lambda x: real(x) if len(x) == 1 else np.zeros_like(x)
-        a, b = simhash._buckets(own, 0.8), simhash._buckets(own[:-1], 0.8)
-    finally:
-        simhash.common.mixed = real
-    assert len(np.intersect1d(a, b))
+        weight = lambda s: (s % np.uint64(7)).astype(np.int64)
+        cut = lambda s: s[np.lexsort((s, weight(s)))][: len(s) - math.ceil(0.8 * len(s) - 1e-9) + simhash._due(len(s))]
+        met += 1
+        assert len(np.intersect1d(cut(a), cut(b))) >= simhash._due(min(len(a), len(b)))
+    assert met > 100
