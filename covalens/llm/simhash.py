@@ -24,6 +24,9 @@ from covalens.llm.graph import components
 
 #: A probe value with more fingerprints than this is compared block by block.
 BLOCK = 1500
+#: A probe, which is made, counted, shuffled and sorted, costs as much as so many comparisons. Measured over 236,028
+#: fingerprints: 0.8 microseconds a probe, 4.4 nanoseconds a comparison. It changes cost, not which links are found.
+PROBE_COST = 180
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -120,8 +123,8 @@ def allotted(n: int, both: np.ndarray, groups: list[list[int]], bits: int) -> tu
     """The least cost and the threshold of each group (-1: not probed), by dynamic programming.
 
     The candidates of a group are estimated from the chance that two texts of
-    the corpus differ in at most t of its bits; a probe costs as much as 20
-    comparisons.
+    the corpus differ in at most t of its bits; a probe costs as much as
+    PROBE_COST comparisons.
     """
     p = np.diag(both) / max(n, 1)
     costs = []
@@ -134,7 +137,7 @@ def allotted(n: int, both: np.ndarray, groups: list[list[int]], bits: int) -> tu
         cost = [0.0]
         for t in range(bits + 1):
             probes = math.comb(len(g), t) if t <= len(g) else math.inf
-            cost.append(n * probes * 20 + n * n / 2 * near[min(t, len(g))] * max(1, t) if probes < 20_000 else math.inf)
+            cost.append(n * probes * PROBE_COST + n * n / 2 * near[min(t, len(g))] * max(1, t) if probes < 20_000 else math.inf)
         costs.append(cost)
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for cost in costs:
