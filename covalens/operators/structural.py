@@ -27,12 +27,30 @@ def insert_size_bounds(histogram: DataFrame, size: str, n: str, *by: str) -> Dat
 
 
 def evidence(clips: DataFrame, clusters: DataFrame, reach: int = 100) -> DataFrame:
-    """clip and cluster ids whose two breakpoints (contig_a, a, contig_b, b) lie within ``reach`` of each other's, in either order of the sides."""
-    both = clips.select("id", "contig_a", "a", "contig_b", "b", F.lit(False).alias("turned")).unionByName(clips.select("id", F.col("contig_b").alias("contig_a"), F.col("b").alias("a"), F.col("contig_a").alias("contig_b"), F.col("a").alias("b"), F.lit(True).alias("turned")))
-    left = Spans(both.withColumn("__e", F.col("a")), "contig_a", "a", "__e")
-    right = Spans(clusters.withColumn("__e", F.col("a")), "contig_a", "a", "__e")
-    near = overlap_join(left, right, buffer=reach).where((F.col("a.contig_b") == F.col("b.contig_b")) & (F.abs(F.col("a.b") - F.col("b.b")) <= reach))
-    return near.groupBy(F.col("a.id").alias("clip"), F.col("b.id").alias("cluster")).agg(F.min("a.turned").alias("turned"))
+    """clip and cluster ids whose two breakpoints (contig_a, a, contig_b, b) lie within ``reach`` of each other's, in either order of the sides.
+
+    Dealt by both breakpoints at once, in square cells of twice the reach's
+    width: a cluster lies in one cell, a clip is sent to each cell that its reach
+    touches, so a pair meets once. Sides are put in the order of their contigs;
+    only clips with both sides on one contig take part in both orders.
+    """
+    width = 2 * (2 * reach + 1)
+    turn = F.col("contig_a") > F.col("contig_b")
+    cell = lambda c: F.floor(c / width)
+    cells = lambda c: F.sequence(cell(F.col(c) - reach), cell(F.col(c) + reach))
+
+    def ordered(df: DataFrame, turns, name: str) -> DataFrame:
+        whole = df.dropna(subset=["contig_a", "a", "contig_b", "b"])
+        side = lambda x, y: F.when(F.col("t"), F.col(y)).otherwise(F.col(x))
+        sides = whole.select(F.col("id").alias(name), "contig_a", "a", "contig_b", "b", turns.alias("t"))
+        return sides.select(name, "t", side("contig_a", "contig_b").alias("ca"), side("a", "b").alias("a"), side("contig_b", "contig_a").alias("cb"), side("b", "a").alias("b"))
+
+    both = F.explode(F.when(F.col("contig_a") == F.col("contig_b"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(turn)))
+    left = ordered(clips, both, "clip").withColumn("x", F.explode(cells("a"))).withColumn("y", F.explode(cells("b")))
+    left = left.withColumnsRenamed({"t": "t1", "a": "a1", "b": "b1"})
+    right = ordered(clusters, turn, "cluster").withColumn("x", cell(F.col("a"))).withColumn("y", cell(F.col("b")))
+    met = left.join(right, ["ca", "cb", "x", "y"]).where((F.abs(F.col("a1") - F.col("a")) <= reach) & (F.abs(F.col("b1") - F.col("b")) <= reach))
+    return met.groupBy("clip", "cluster").agg(F.min(F.col("t1") != F.col("t")).alias("turned"))
 
 
 def copy_number_windows(df: DataFrame, contig: str, start: str, sample: str, size: int, lengths: DataFrame, samples: list, as_labelled: bool = True) -> DataFrame:
