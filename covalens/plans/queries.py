@@ -264,7 +264,7 @@ def genotype_call(spark, sf_dir):
 @query(f"""with {_SIG} select x.sample as a, y.sample as b, count(*) as compared, count(*) filter (x.genotype = y.genotype) as matches, round(count(*) filter (x.genotype = y.genotype) / count(*), 6) as score
     from S x join S y on x.position = y.position and x.sample < y.sample group by 1, 2""")
 def fingerprint_pairs(spark, sf_dir):
-    return signature.pair_scores(signed(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return signature.pair_scores(signed(spark, sf_dir), 6)
 
 
 @query(f"""with {_SIG}, C as (select position, sample % 50 as k, min(genotype) as gt from S where sample % 2 = 0 group by 1, 2), T as (select position, (sample + 1) % 50 as k, max(genotype) as gt from S where sample % 2 = 1 group by 1, 2)

@@ -6,7 +6,23 @@ import re
 
 import pytest
 
-from covalens.operators import structural
+from covalens.operators import signature, structural
+
+
+def metric(df, node, name):
+    """The sum of a metric over the nodes of that name, after df was collected."""
+
+    def walk(plan):
+        kind = plan.nodeName()
+        if kind == "AdaptiveSparkPlan":
+            return walk(plan.executedPlan())
+        if "QueryStage" in kind:
+            return walk(plan.plan())
+        own = plan.metrics().get(name) if node in kind else None
+        children = plan.children()
+        return (own.get().value() if own is not None and own.isDefined() else 0) + sum(walk(children.apply(i)) for i in range(children.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
 
 
 SIDES = "id long, contig_a string, a long, contig_b string, b long"
@@ -26,3 +42,24 @@ def test_evidence_as_by_plain_search(spark, reach):
 def test_evidence_is_dealt_by_both_breakpoints(spark):
     sides = spark.createDataFrame([(1, "a", 1, "b", 2)], SIDES)
     assert re.search(r"Join \[ca#\d+, cb#\d+, x#\d+L, y#\d+L\]", structural.evidence(sides, sides, 3)._jdf.queryExecution().toString())
+
+
+def test_pair_scores_as_by_plain_search(spark, monkeypatch):
+    monkeypatch.setattr(signature, "BLOCK", 4)
+    rng = random.Random(7)
+    signs = {i: {p: rng.choice(["AA", "AC"]) for p in range(3) if rng.random() < 0.5} for i in range(60)}
+    rows = [(i, p, g) for i, own in signs.items() for p, g in own.items()] + [(None, 1, "AA"), (3, None, "AA")]
+    expected = {}
+    for x, y in itertools.combinations(signs, 2):
+        both = signs[x].keys() & signs[y].keys()
+        if both:
+            n = sum(signs[x][p] == signs[y][p] for p in both)
+            expected[x, y] = (len(both), n, round(n / len(both), 6))
+    got = signature.pair_scores(spark.createDataFrame(rows, "sample long, position long, genotype string"), 6).collect()
+    assert len(got) == len(expected) and {(r.a, r.b): (r.compared, r.matches, r.score) for r in got} == expected
+
+
+def test_pairs_of_samples_are_not_shuffled(spark):
+    out = signature.pair_scores(spark.range(600).selectExpr("id as sample", "1L as position", "'AA' as genotype"))
+    assert len(out.collect()) == 600 * 599 // 2
+    assert metric(out, "Exchange", "shuffleRecordsWritten") <= 10_000  # 179,700 pairs
