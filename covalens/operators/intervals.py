@@ -8,6 +8,7 @@ end lies before its start, is in no result but that of ``anti_join``.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -58,18 +59,27 @@ def _bins(start: Column, end: Column, width: int) -> Column:
     return F.sequence(F.floor(start / width), F.floor(end / width))
 
 
-def _binned(spans: Spans, prefix: str, buffer: int, width: int) -> DataFrame:
+def _binned(spans: Spans, prefix: str, buffer: int, width: int, first: bool = False) -> DataFrame:
+    """One row for each bin, or (``first``) for the bin of the start alone."""
     df = spans.valid()
     s, e = F.col(spans.start).cast("long") - buffer, F.col(spans.end).cast("long") + buffer
-    return df.select(F.struct(*df.columns).alias(prefix), F.col(spans.contig).alias("__contig"), s.alias(f"__{prefix}s"), e.alias(f"__{prefix}e"), F.explode(_bins(s, e, width)).alias("__bin"))
+    bins = F.floor(s / width) if first else F.explode(_bins(s, e, width))
+    return df.select(F.struct(*df.columns).alias(prefix), F.col(spans.contig).alias("__contig"), s.alias(f"__{prefix}s"), e.alias(f"__{prefix}e"), bins.alias("__bin"))
+
+
+def fitting_width(spans: Spans, least: int = 16) -> int:
+    """The power of two that reaches the mean length, so that bins are narrow and an interval lies in about two of them."""
+    mean = spans.valid().agg(F.avg(F.col(spans.end) - F.col(spans.start) + 1)).first()[0]
+    return 1 << max(least - 1, math.ceil(mean or 1) - 1).bit_length()
 
 
 def overlap_join(a: Spans, b: Spans, buffer: int = 0, width: int = BIN, within: bool = False) -> DataFrame:
     """Structs a and b of each pair whose intervals overlap (with ``within``: b's contains a's).
 
-    Each pair is found in the one bin where the later of both starts lies.
+    Each pair is found in the one bin where the later of both starts lies; with
+    ``within`` that is a's, so a is in no other.
     """
-    left, right = _binned(a, "a", buffer, width), _binned(b, "b", 0, width)
+    left, right = _binned(a, "a", buffer, width, within), _binned(b, "b", 0, width)
     joined = left.join(right.withColumnsRenamed({"__contig": "__rc", "__bin": "__rb"}), (F.col("__contig") == F.col("__rc")) & (F.col("__bin") == F.col("__rb")) & (F.col("__as") <= F.col("__be")) & (F.col("__ae") >= F.col("__bs")))
     joined = joined.where(F.floor(F.greatest("__as", "__bs") / width) == F.col("__bin"))
     if within:

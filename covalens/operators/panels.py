@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covalens.functions.sequence import reverse_complement
-from covalens.operators.intervals import Spans, overlap_join
+from covalens.operators.intervals import Spans, fitting_width, overlap_join
 
 
 def probes_found(reads: DataFrame, probes: DataFrame) -> DataFrame:
@@ -29,10 +29,22 @@ def regions_of(fragments: DataFrame, regions: DataFrame, slack: int = 10) -> Dat
 
     Slack is asked for at the end alone. Both have contig, start and end.
     """
-    pairs = overlap_join(Spans(regions), Spans(fragments), within=True)
+    pairs = overlap_join(Spans(regions), Spans(fragments), width=fitting_width(Spans(fragments)), within=True)
     return pairs.where(F.col("b.end") > F.col("a.end") + slack)
 
 
+def regions_counted(fragments: DataFrame, regions: DataFrame, slack: int = 10) -> DataFrame:
+    """The rows of fragments that hold a region, as ``regions_of`` has it, with n, how many, and first, the least start of these.
+
+    Regions and fragments of equal contig, start and end meet once, with their
+    number, however many there are.
+    """
+    place = ["contig", "start", "end"]
+    held = regions_of(fragments.select(*place).distinct(), regions.groupBy(*place).agg(F.count("*").alias("n")), slack)
+    counts = held.groupBy(*(F.col(f"b.{c}").alias(c) for c in place)).agg(F.sum("a.n").alias("n"), F.min("a.start").alias("first"))
+    return fragments.join(counts, place)
+
+
 def clip_consensus(clips: DataFrame, keys: list[str], least: int = 1) -> DataFrame:
     """keys, clips and consensus of clipped ends (keys, reverse, clip) of ``least`` bases or more.
 

@@ -57,7 +57,7 @@ def probes_found(spark, sf_dir):
 def regions_of_fragments(spark, sf_dir):
     r = reads(spark, sf_dir)
     regions = r.select("contig", "user_id", "start", (F.col("start") + 9).alias("end")).distinct()
-    return panels.regions_of(r, regions).groupBy(F.col("b.id").alias("id")).agg(F.count("*").alias("n"), F.min("a.start").alias("first"))
+    return panels.regions_counted(r, regions).groupBy("id").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
 
 _CLIPS = ("l_suppkey as place", "l_linenumber % 2 = 0 as reverse", "translate(cast(l_partkey * 31 as varchar), '0123456789', 'ACGTACGTNC') as clip")

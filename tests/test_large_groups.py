@@ -5,8 +5,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from covalens.operators import signature, structural
+from covalens.operators import panels, signature, structural
 
 
 def metric(df, node, name):
@@ -44,6 +45,27 @@ def test_evidence_is_dealt_by_both_breakpoints(spark):
     assert re.search(r"Join \[ca#\d+, cb#\d+, x#\d+L, y#\d+L\]", structural.evidence(sides, sides, 3)._jdf.queryExecution().toString())
 
 
+def test_regions_counted_as_by_plain_search(spark):
+    rng = random.Random(5)
+    spans = [(rng.choice(["a", "b", None]), s := rng.randrange(-20, 60), s + rng.choice([-1, 0, 3, 9, 40])) for _ in range(120)]
+    fragments = [(i, c, s, rng.choice([s + 15, s + 70, s - 5, None])) for i, (c, s, _) in enumerate(spans)]
+    expected = {}
+    for i, c, s, e in fragments:
+        inside = [x for d, x, y in spans if e is not None and None not in (c, d) and c == d and s <= x <= y and e > y + 10]
+        if inside:
+            expected[i] = (len(inside), min(inside))
+    regions = spark.createDataFrame(spans, "contig string, start long, end long")
+    got = panels.regions_counted(spark.createDataFrame(fragments, "id long, contig string, start long, end long"), regions).collect()
+    assert expected and len(got) == len(expected) and {r.id: (r.n, r.first) for r in got} == expected
+
+
+def test_regions_alike_meet_once(spark):
+    many = lambda end: spark.range(2000).select("id", F.lit("a").alias("contig"), F.lit(5).cast("long").alias("start"), F.lit(end).cast("long").alias("end"))
+    out = panels.regions_counted(many(40), many(14))
+    assert [(r.n, r.first) for r in out.collect()] == [(2000, 5)] * 2000
+    assert metric(out, "Join", "numOutputRows") <= 10_000  # 4,000,000 pairs
+
+
 def test_pair_scores_as_by_plain_search(spark, monkeypatch):
     monkeypatch.setattr(signature, "BLOCK", 4)
     rng = random.Random(7)
