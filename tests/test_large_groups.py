@@ -82,6 +82,6 @@ def test_pair_scores_as_by_plain_search(spark, monkeypatch):
 
 
 def test_pairs_of_samples_are_not_shuffled(spark):
-    out = signature.pair_scores(spark.range(600).selectExpr("id as sample", "1L as position", "'AA' as genotype"))
+    out = signature.pair_scores(spark.createDataFrame([(i, 1, "AA") for i in range(600)], "sample long, position long, genotype string"))
     assert len(out.collect()) == 600 * 599 // 2
     assert metric(out, "Exchange", "shuffleRecordsWritten") <= 10_000  # 179,700 pairs
