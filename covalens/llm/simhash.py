@@ -428,20 +428,20 @@ def _repeated():
     return run
 
 
-def _crossing(similarity: float):
-    """(a, b, n, due): in how many shingles of their prefixes two texts of different groups meet, less pairs that by bounds can't be alike."""
+def _crossing(similarity: float, beside: bool = False):
+    """(a, b, n, due): in how many shingles of their prefixes two texts of different groups meet, less pairs that by bounds can't be alike.
+
+    With ``beside`` only (a, b), each once, of texts that stand beside each other in an order of a shingle's texts by chance.
+    """
 
     def pairs(key, node, comp, meta, *parity):
-        order = np.lexsort((comp, key))
+        chance = (node ^ key).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        order = np.lexsort((chance if beside else comp, key))
         key, node, comp, meta = (x[order] for x in (key, node, comp, meta))
         size, pos, side = meta >> 34, meta >> 4 & ((1 << 30) - 1), meta & 15
         parity = np.stack(parity, axis=1)[order].view(np.uint64)
-        end = np.searchsorted(key, key, "right")
-        last = np.flatnonzero(np.r_[(key[1:] != key[:-1]) | (comp[1:] != comp[:-1]), True])
-        after = last[np.searchsorted(last, np.arange(len(key)))] + 1  # the first row of the next group
-        idx, d, found = np.arange(len(key)), 0, [np.zeros((0, 3), np.int64)]
-        while len(idx := idx[after[idx] + d < end[idx]]):
-            x, y = idx, after[idx] + d
+
+        def fitting(x, y):
             need = similarity / (1 + similarity) * (size[x] + size[y]) - 1e-6
             due = _due(np.minimum(size[x], size[y]))
             # the first common shingle of a pair has all others behind it, the last one due as many less
@@ -450,8 +450,18 @@ def _crossing(similarity: float):
             # bits of odd counts that differ are at most as many as the shingles of one set alone
             fine = np.bitwise_count(parity[x] ^ parity[y]).sum(axis=1, dtype=np.int64) <= size[x] + size[y] - 2 * need
             x, y, due = node[x[fine]], node[y[fine]], due[fine]
-            if len(x):
-                found.append(np.stack([np.maximum(x, y), np.minimum(x, y), due], axis=1))
+            return np.stack([np.maximum(x, y), np.minimum(x, y), due], axis=1)
+
+        if beside:
+            near = [(np.flatnonzero((key[d:] == key[:-d]) & (comp[d:] != comp[:-d])), d) for d in range(1, BESIDE + 1)]
+            out = np.unique(np.concatenate([fitting(at, at + d)[:, :2] for at, d in near]), axis=0)
+            return pa.record_batch([pa.array(np.ascontiguousarray(v)) for v in out.T], names=["a", "b"])
+        end = np.searchsorted(key, key, "right")
+        last = np.flatnonzero(np.r_[(key[1:] != key[:-1]) | (comp[1:] != comp[:-1]), True])
+        after = last[np.searchsorted(last, np.arange(len(key)))] + 1  # the first row of the next group
+        idx, d, found = np.arange(len(key)), 0, [np.zeros((0, 3), np.int64)]
+        while len(idx := idx[after[idx] + d < end[idx]]):
+            found.append(fitting(idx, after[idx] + d))
             d += 1
         out, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
         return pa.record_batch([pa.array(np.ascontiguousarray(v)) for v in (out[:, 0], out[:, 1], n, out[:, 2])], names=["a", "b", "n", "due"])
@@ -496,12 +506,41 @@ def _common_hashes(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
     return h[order], n[order]
 
 
+#: So many texts after each one, at each shingle, are beside it.
+BESIDE = 4
 #: So many texts, of 16 bytes each, are broadcast; they are counted first, and beyond them joined by shuffle.
 ENDS = 500_000
 #: The search by prefixes is done in so many parts by range of shingles, each with that share of its exchange's disk.
 PARTS = 2
 
 
+def _hot(texts: DataFrame) -> DataFrame | None:
+    """probe, blocks of the shingles with more than BLOCK entries, to be broadcast if few; None if there are none."""
+    # a task leaves out what it has but once, so this counts too few by the number of tasks at most: that deals
+    # some values in one piece that two would hold, and changes no result
+    hot = texts.select("comp", "prefix").mapInArrow(_repeated(), "probe long, n long, lo long, hi long")
+    hot = hot.groupBy("probe").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("n") > BLOCK)
+    hot = common.stored(hot.select("probe", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "hot")
+    n_hot = hot.limit(10_001).count()
+    if not n_hot:
+        return None
+    return F.broadcast(hot) if n_hot <= 10_000 else hot
+
+
+def _dealt(texts: DataFrame, hot: DataFrame | None, part: int, whole: bool = True) -> DataFrame:
+    """The entries of a part, dealt and sorted by probe; those of hot probes once for each pair of blocks or, unless ``whole``, each in its own block alone."""
+    entries = texts.mapInArrow(_entries(part, PARTS), ", ".join(f"{c} long" for c in _ENTRY))
+    if hot is not None:
+        split = entries.join(hot, "probe", "left")
+        own = F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")
+        side = lambda x: F.when(x == own, 0).when(x < own, 1).otherwise(2).cast("long")
+        block = lambda x: F.struct(F.xxhash64("probe", F.least(x, own), F.greatest(x, own)).alias("probe"), F.col("meta").bitwiseOR(side(x)).alias("meta"))
+        met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), block) if whole else F.array(block(own))
+        parts = F.when(F.col("blocks").isNull(), F.array(F.struct("probe", "meta"))).otherwise(met)
+        entries = split.withColumn("part", F.explode(parts)).select("part.probe", "node", "comp", "part.meta", *PARITY)
+    return entries.repartition(common.partitions(texts.sparkSession), "probe").sortWithinPartitions("probe")
+
+
 def crossing_pairs(texts: DataFrame, similarity: float) -> DataFrame:
     """Candidates (a, b) of texts (node, comp, size, parities, prefix): every pair of different comp whose likeness reaches ``similarity``, and few others.
 
@@ -512,30 +551,24 @@ def crossing_pairs(texts: DataFrame, similarity: float) -> DataFrame:
     likeness from above. Shingles with more than BLOCK entries are dealt in blocks;
     those of one group alone are left out, as it is linked already.
     """
-    spark = texts.sparkSession
-    # a task leaves out what it has but once, so this counts too few by the number of tasks at most: that deals
-    # some values in one piece that two would hold, and changes no result
-    hot = texts.select("comp", "prefix").mapInArrow(_repeated(), "probe long, n long, lo long, hi long")
-    hot = hot.groupBy("probe").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("n") > BLOCK)
-    hot = common.stored(hot.select("probe", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "hot")
-    n_hot = hot.limit(10_001).count()
     found = None
+    hot = _hot(texts)
     for part in range(PARTS):
-        entries = texts.mapInArrow(_entries(part, PARTS), ", ".join(f"{c} long" for c in _ENTRY))
-        if n_hot:
-            split = entries.join(F.broadcast(hot) if n_hot <= 10_000 else hot, "probe", "left")
-            own = F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")
-            side = lambda x: F.when(x == own, 0).when(x < own, 1).otherwise(2).cast("long")  # noqa: B023, E731
-            block = lambda x: F.struct(F.xxhash64("probe", F.least(x, own), F.greatest(x, own)).alias("probe"), F.col("meta").bitwiseOR(side(x)).alias("meta"))  # noqa: B023, E731
-            parts = F.when(F.col("blocks").isNull(), F.array(F.struct("probe", "meta"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), block))
-            entries = split.withColumn("part", F.explode(parts)).select("part.probe", "node", "comp", "part.meta", *PARITY)
-        dealt = entries.repartition(common.partitions(spark), "probe").sortWithinPartitions("probe")
-        met = dealt.mapInArrow(_crossing(similarity), "a long, b long, n long, due long")
+        met = _dealt(texts, hot, part).mapInArrow(_crossing(similarity), "a long, b long, n long, due long")
         met = common.stored(met.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("due").alias("due")), f"crossing-{part}")
         found = met if found is None else found.unionByName(met)
     return found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("due").alias("due")).where("n >= due").select("a", "b")
 
 
+def beside_pairs(texts: DataFrame, similarity: float) -> DataFrame:
+    """Candidates (a, b) of the same texts, at most BESIDE for each entry: those of different comp that stand beside each other at a shingle.
+
+    Not whole: of many texts alike, each meets a few at each of its shingles instead of all. What they link
+    need not meet in ``crossing_pairs``, whose rows would else grow with the square of such a group.
+    """
+    return _dealt(texts, _hot(texts), 0, whole=False).mapInArrow(_crossing(similarity, beside=True), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 6, similarity: float = 0.8) -> DataFrame:
     """(doc_id, group_id) of each doc_id: groups of texts linked by word-shingle likeness.
 
@@ -593,9 +626,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 6, similarity
     apart = marked.join(nodes, ["doc_id", "x", "y", "fp"]).select(F.col("doc_id").alias("node"), "comp", "size", *PARITY, "prefix")
     apart = common.stored(apart, "apart")
     common.discard(marked)
-    found = links(crossing_pairs(apart, similarity))
+    beside = links(beside_pairs(apart, similarity))
+    comp_of = nodes.select("doc_id", "comp")
+    sides = beside.join(comp_of.withColumnsRenamed({"doc_id": "a", "comp": "ca"}), "a").join(comp_of.withColumnsRenamed({"doc_id": "b", "comp": "cb"}), "b")
+    merged = components(sides.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnsRenamed({"node": "comp", "root": "to"})
+    merged = common.stored(merged, "merged")
+    if merged.limit(ENDS + 1).count() <= ENDS:
+        merged = F.broadcast(merged)
+    found = links(crossing_pairs(apart.join(merged, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to"), similarity))
     common.discard(apart)
-    comp = components(quick.unionByName(found))
+    comp = components(quick.unionByName(beside).unionByName(found))
     groups = texts.join(comp, "node", "left").select("x", "y", "fp", F.coalesce("root", "node").alias("group_id"))
     return documents.join(groups, ["x", "y", "fp"]).select("doc_id", "group_id")
 
