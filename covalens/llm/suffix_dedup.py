@@ -11,7 +11,8 @@ positions are still tied:
    same representative form a run; a run goes out once, as (24-byte rank, rank
    pair of its two ends, smallest doc). Sorted by rank, runs that are unique
    are done, equal runs are resolved at once, and only starts of different
-   runs that tie on 24 bytes go on.
+   runs that tie on 24 bytes go on. What this leaves of a group,
+   two bits a byte, is kept, so that its runs are made twice in all.
 2. Those starts go out with their 50-byte ranks. Sorted again, each learns
    whether a smaller document has it.
 
@@ -26,6 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,27 +44,33 @@ GROUP = 1 << 20
 
 BLOCK = "kind int, bucket int, grp int, name binary, rank binary, docs binary, base long"
 REPLY = "kind int, grp int, bucket int, bits binary"
+#: Kinds of blocks and replies: runs, starts, and what the first sort leaves of a group.
+RUNS, STARTS, STATE = 1, 2, 3
 
 
-def _names(data: np.ndarray, salt: int) -> np.ndarray:
-    """Names of the 16 bytes that start at each position; data has 16 bytes of padding."""
-    n = len(data) - FIRST
-    words = np.ndarray((n + 8,), "<u8", data, strides=(1,)).astype(np.uint64)
-    out = words[:n] * common.u64(0x9E3779B97F4A7C15 + 2 * salt)
+def _paired_words(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+    out = a * common.u64(0x9E3779B97F4A7C15 + 2 * salt)
     out ^= out >> common.u64(32)
-    out += words[8 : n + 8]
+    out += b
     out *= common.u64(0xD6E8FEB86659FD93 + 2 * salt)
     out ^= out >> common.u64(32)
     out *= common.u64(0xD6E8FEB86659FD93)
     return out
 
 
-def _long_names(first: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Names of the ``length`` bytes at positions ``at``, by doubling names of 16 bytes."""
+def _names(data: np.ndarray, salt: int) -> np.ndarray:
+    """Names of the 16 bytes that start at each position; data has 16 bytes of padding."""
+    n = len(data) - FIRST
+    words = np.ndarray((n + 8,), "<u8", data, strides=(1,)).astype(np.uint64)
+    return _paired_words(words[:n], words[8 : n + 8], salt)
+
+
+def _long_names(first, at: np.ndarray, length: int) -> np.ndarray:
+    """Names of the ``length`` bytes at positions ``at``, by doubling names of 16 bytes, which ``first`` gives for positions."""
 
     def name(at, n):
         if n == FIRST:
-            return first[at]
+            return first(at)
         half = FIRST
         while 2 * half < n:
             half *= 2
@@ -110,7 +118,7 @@ def _segment(data, ends, lo, hi, length):
     r0 = np.flatnonzero(whole & np.r_[True, change | ~whole[:-1]])
     r1 = np.flatnonzero(whole & np.r_[change | ~whole[1:], True])
     rank = anchor[(least[r0] & common.u64((1 << _IDX) - 1)).astype(np.int64)]
-    ends_named = common.paired(_long_names(first, r0, length), _long_names(first, r1, length), 3)
+    ends_named = common.paired(_long_names(first.__getitem__, r0, length), _long_names(first.__getitem__, r1, length), 3)
     name = common.paired(ends_named, (r1 - r0).astype(np.uint64))
     r0 += lo
     return r0, r1 + lo, np.searchsorted(ends, r0, side="right"), name, rank
@@ -118,7 +126,7 @@ def _segment(data, ends, lo, hi, length):
 
 def _merged(name: np.ndarray, rank: np.ndarray, keys: np.ndarray):
     """Of each different name: name, rank and the smallest key, by ascending name; and where each row went."""
-    order = np.argsort(name, kind="stable")
+    order = np.argsort(name)
     name = name[order]
     new = np.r_[True, name[1:] != name[:-1]] if len(name) else np.zeros(0, bool)
     at = np.flatnonzero(new)
@@ -132,7 +140,7 @@ def _dealt(kind, grp, name, rank, least, buckets):
     """Packed blocks by bucket, in the order that replies refer to."""
     order, at = _dealt_order(rank, buckets)
     # a rank's low part is the bucket; of the rest 32 bits tell ties of runs, and 16 with the name starts
-    width = np.uint32 if kind == 1 else np.uint16
+    width = np.uint32 if kind == RUNS else np.uint16
     name, rank, least = name[order], (rank[order] >> common.u64(32)).astype(width), least[order]
     rows = []
     for b in np.flatnonzero(at[1:] > at[:-1]):
@@ -142,18 +150,22 @@ def _dealt(kind, grp, name, rank, least, buckets):
     return rows
 
 
-def _runs(blobs: pa.Table, length: int):
+def _texts(blobs: pa.Table):
+    """A group's texts, always in the same order, however its blobs arrive; their bytes, offsets and keys."""
     common.give_back()  # what the group before has left
     texts = common.texts_of(blobs)
-    data, offsets = common.flat(texts["text"])
-    keys = texts["key"].to_numpy()
+    texts = texts.take(pc.sort_indices(texts, sort_keys=[("key", "ascending"), ("text", "ascending")]))
+    return texts, *common.flat(texts["text"]), texts["key"].to_numpy()
+
+
+def _runs(data, offsets, keys, length: int):
     ends = offsets[1:]
     segments = [_segment(data, ends, lo, min(lo + SEGMENT, len(data)), length) for lo in range(0, len(data), SEGMENT)]
     joined = lambda i, kind: np.concatenate([s[i] for s in segments]) if segments else np.zeros(0, kind)
     r0, r1, doc = joined(0, np.int64), joined(1, np.int64), joined(2, np.int64)
     name, rank = joined(3, np.uint64), joined(4, np.uint64)
     name, rank, least, where = _merged(name, rank, keys[doc] if len(doc) else np.zeros(0, np.int64))
-    return texts, data, offsets, keys, r0, r1, doc, name, rank, least, where
+    return r0, r1, doc, name, rank, least, where
 
 
 def _bits(replies: list[tuple[int, bytes]], order, at, n) -> np.ndarray:
@@ -167,13 +179,11 @@ def _bits(replies: list[tuple[int, bytes]], order, at, n) -> np.ndarray:
     return out
 
 
-def _answer(key, blocks):
-    """Sorts one range of ranks; replies to each group about each of its entries."""
-    kind, bucket = key[0].as_py(), key[1].as_py()
-    rows = blocks.to_pylist()
+def _sorted(rows: list[dict]) -> list[bytes]:
+    """Sorts the blocks of one range of ranks; two bits about each entry, by block."""
     names = [np.frombuffer(r["name"], np.uint64) for r in rows]
     name = np.concatenate(names)
-    rank = np.concatenate([np.frombuffer(r["rank"], np.uint32 if kind == 1 else np.uint16) for r in rows])
+    rank = np.concatenate([np.frombuffer(r["rank"], np.uint32 if r["kind"] == RUNS else np.uint16) for r in rows])
     docs = np.concatenate([common.from_small(r["base"], r["docs"], len(x)) for r, x in zip(rows, names, strict=True)])
     order = np.lexsort((name, rank))
     n, k = name[order], rank[order]
@@ -190,8 +200,16 @@ def _answer(key, blocks):
     tied = np.empty(len(name), bool)
     tied[order] = classes[by_rank] > 1
     ends = np.cumsum([len(x) for x in names])
-    out = [np.concatenate([np.packbits(earlier[a:b]), np.packbits(tied[a:b])]) for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)]
-    return pa.table({"kind": pa.array([kind] * len(rows), pa.int32()), "grp": pa.array([r["grp"] for r in rows], pa.int32()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "bits": common.binaries(out)})
+    return [np.packbits(earlier[a:b]).tobytes() + np.packbits(tied[a:b]).tobytes() for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)]
+
+
+def _answer(key, blocks):
+    """Replies to each group about each of its entries in one range of ranks; a group's state passes as it is."""
+    bucket, rows = key[-1].as_py(), blocks.to_pylist()
+    entries, state = ([r for r in rows if (r["kind"] == STATE) == s] for s in (False, True))
+    bits = (_sorted(entries) if entries else []) + [r["name"] for r in state]
+    rows = entries + state
+    return pa.table({"kind": pa.array([r["kind"] for r in rows], pa.int32()), "grp": pa.array([r["grp"] for r in rows], pa.int32()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "bits": pa.array(bits, pa.binary())})
 
 
 def _blocks(rows) -> pa.Table:
@@ -200,62 +218,86 @@ def _blocks(rows) -> pa.Table:
     return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, kinds, strict=True))})
 
 
-def _starts(data, offsets, keys, runs, flags, where, least, length):
-    """Of the runs that no smaller document has: (start, doc, two names) of each start whose rank ties; and the mask of resolved runs."""
-    r0, r1, doc = runs
-    gone = (keys[doc] > least[where]) | (flags[where] & 1).astype(bool) if len(doc) else np.zeros(0, bool)
-    open_ = np.flatnonzero(~gone & (flags[where] >> 1).astype(bool)) if len(doc) else np.zeros(0, np.int64)
-    lens = r1[open_] - r0[open_] + 1
-    start = np.repeat(r0[open_] - np.r_[0, np.cumsum(lens)[:-1]], lens) + np.arange(lens.sum()) if len(open_) else np.zeros(0, np.int64)
-    owner = np.repeat(doc[open_], lens)
-    lo, hi = [], []
-    at = np.searchsorted(start, np.arange(0, len(data) + SEGMENT, SEGMENT))
-    for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
-        if b > a:
-            s0 = i * SEGMENT
-            stop = min(len(data), s0 + SEGMENT + length)
-            padded = np.zeros(stop - s0 + FIRST, np.uint8)
-            padded[: stop - s0] = data[s0:stop]
-            rel = start[a:b] - s0
-            lo.append(_long_names(_names(padded, 0), rel, length))
-            hi.append(_long_names(_names(padded, 0x51), rel, length))
-    cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint64)
-    return start, owner, cat(lo), cat(hi), gone
+def _covered(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Which of n positions lie in a range from a to b - 1."""
+    return np.cumsum(np.bincount(a, minlength=n + 1) - np.bincount(b, minlength=n + 1))[:n] > 0
+
+
+def _dealt_order(rank, buckets):
+    bucket = (rank % common.u64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
 def _first(length, buckets):
     def send(key, blobs):
-        *_, name, rank, least, _ = _runs(blobs, length)
-        return _blocks(_dealt(1, key[0].as_py(), name, rank, least, buckets))
+        _, *group = _texts(blobs)
+        *_, name, rank, least, _ = _runs(*group, length)
+        return _blocks(_dealt(RUNS, key[0].as_py(), name, rank, least, buckets))
 
     return send
 
 
-def _state(blobs, replies, length, buckets, part=None):
-    """Everything a group knows after the first sort, and the entries of the second."""
-    texts, data, offsets, keys, r0, r1, doc, name, rank, least, where = _runs(blobs, length)
-    order, at = _dealt_order(rank, buckets)
-    said = [(r["bucket"], r["bits"]) for r in replies if r["kind"] == 1]
-    flags = _bits(said, order, at, len(name))
-    del name, rank
-    start, owner, lo, hi, gone = _starts(data, offsets, keys, (r0, r1, doc), flags, where, least, length)
-    if part is not None:
-        mine = hi % common.u64(buckets) % common.u64(PARTS) == common.u64(part)
-        start, owner, lo, hi = start[mine], owner[mine], lo[mine], hi[mine]
-    lo, hi, first, to = _merged(lo, hi, keys[owner] if len(owner) else np.zeros(0, np.int64))
-    return texts, data, offsets, keys, r0, r1, gone, start, owner, lo, hi, first, to
+def _resolved(data, offsets, keys, replies, length, buckets):
+    """What the first sort leaves of a group: which starts still tie, and which bytes runs cover that a smaller document has."""
+    r0, r1, doc, name, rank, least, where = _runs(data, offsets, keys, length)
+    flags = _bits([(r["bucket"], r["bits"]) for r in replies], *_dealt_order(rank, buckets), len(name))[where]
+    gone = (keys[doc] > least[where]) | (flags & 1).astype(bool)
+    tied = ~gone & (flags >> 1).astype(bool)
+    return _covered(r0[tied], r1[tied] + 1, len(data)), _covered(r0[gone], r1[gone] + length, len(data))
 
 
-def _dealt_order(rank, buckets):
-    bucket = (rank % common.u64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+def _packed(tied: np.ndarray, dead: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.packbits(np.r_[tied, dead]).tobytes())
+
+
+def _unpacked(rows, n: int):
+    import zstandard
+
+    (bits,) = (r["bits"] for r in rows if r["kind"] == STATE)
+    both = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(bits), np.uint8), count=2 * n).astype(bool)
+    return both[:n], both[n:]
+
+
+def _named(data, start, length, salt):
+    """Names of the ``length`` bytes at each start, which ascend; only where they are needed, unless that is more work."""
+    out = [np.zeros(0, np.uint64)]
+    words = np.ndarray((max(len(data) - 7, 0),), "<u8", data, strides=(1,))
+    at = np.searchsorted(start, np.arange(0, len(data) + SEGMENT, SEGMENT))
+    for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+        s0 = i * SEGMENT
+        if 4 * (b - a) > min(SEGMENT, len(data) - s0):
+            own = data[s0 : s0 + SEGMENT + length]
+            first = _names(np.r_[own, np.zeros(FIRST, np.uint8)], salt)
+            out.append(_long_names(first.__getitem__, start[a:b] - s0, length))
+        elif b > a:
+            out.append(_long_names(lambda x: _paired_words(words[x], words[x + 8], salt), start[a:b], length))
+    return np.concatenate(out)
+
+
+def _entries(data, offsets, keys, tied, length, buckets, part=None):
+    """Starts that tie and their texts; the entries of the second sort, and which one each start is."""
+    start = np.flatnonzero(tied)
+    hi = _named(data, start, length, 0x51)
+    if part is not None:
+        mine = hi % common.u64(buckets) % common.u64(PARTS) == common.u64(part)
+        start, hi = start[mine], hi[mine]
+    owner = np.searchsorted(offsets[1:], start, side="right")
+    return start, owner, *_merged(_named(data, start, length, 0), hi, keys[owner])
 
 
 def _second(length, buckets, part):
+    """Entries of one part; the first part takes the replies about runs, and hands on what they leave, which the others take."""
+
     def send(key, blobs, replies):
-        *_, lo, hi, first, _ = _state(blobs, replies.to_pylist(), length, buckets, part)
-        return _blocks(_dealt(2, key[0].as_py(), lo, hi, first, buckets))
+        _, *group = _texts(blobs)
+        rows, grp = replies.to_pylist(), key[0].as_py()
+        tied, dead = _unpacked(rows, len(group[0])) if part else _resolved(*group, rows, length, buckets)
+        *_, lo, hi, first, _ = _entries(*group, tied, length, buckets, part)
+        state = [] if part else [(STATE, grp % buckets // PARTS * PARTS, grp, _packed(tied, dead), b"", b"", 0)]  # to a range of this part
+        return _blocks(_dealt(STARTS, grp, lo, hi, first, buckets) + state)
 
     return send
 
@@ -272,16 +314,12 @@ def _whole_characters(data: np.ndarray, dead: np.ndarray) -> np.ndarray:
 def _last(length, buckets, whole):
     def cut(key, blobs, replies):
         rows = replies.to_pylist()
-        texts, data, offsets, keys, r0, r1, gone, start, owner, lo, hi, first, to = _state(blobs, rows, length, buckets)
-        order, at = _dealt_order(hi, buckets)
-        flags = _bits([(r["bucket"], r["bits"]) for r in rows if r["kind"] == 2], order, at, len(lo))
-        hit = start[(keys[owner] > first[to]) | (flags[to] & 1).astype(bool)] if len(start) else start
-        edge = np.zeros(len(data) + 1, np.int32)
-        np.add.at(edge, r0[gone], 1)
-        np.add.at(edge, np.minimum(r1[gone] + length, len(data)), -1)
-        np.add.at(edge, hit, 1)
-        np.add.at(edge, np.minimum(hit + length, len(data)), -1)
-        dead = np.cumsum(edge[:-1], dtype=np.int32) > 0
+        texts, data, offsets, keys = _texts(blobs)
+        tied, dead = _unpacked(rows, len(data))
+        start, owner, lo, hi, first, to = _entries(data, offsets, keys, tied, length, buckets)
+        flags = _bits([(r["bucket"], r["bits"]) for r in rows if r["kind"] == STARTS], *_dealt_order(hi, buckets), len(lo))
+        hit = start[(keys[owner] > first[to]) | (flags[to] & 1).astype(bool)]
+        dead |= _covered(hit, hit + length, len(data))
         lost = _whole_characters(data, dead) if whole else dead
         none = texts["text"].is_null().to_pylist()
         removed, spans, sha, kept = [], [], [], []
@@ -322,11 +360,13 @@ def suffix_dedup(docs: DataFrame, length: int = 50, keep: bool = True, carry: tu
     # dealt once, for all passes
     blobs = common.dealt_texts(docs, group, key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([rest] if carry else []))
     by = lambda df: df.groupBy("grp")
-    answered = lambda blocks, tag: common.stored(blocks.groupBy("kind", "bucket").applyInArrow(_answer, REPLY), tag)
-    one = answered(by(blobs).applyInArrow(_first(length, ranges), BLOCK), "runs")
-    replies = one
+    answered = lambda blocks, tag: common.stored(blocks.groupBy("bucket").applyInArrow(_answer, REPLY), tag)
+    said = answered(by(blobs).applyInArrow(_first(length, ranges), BLOCK), "runs")
+    replies = None
     for part in range(PARTS):
-        replies = replies.unionByName(answered(by(blobs).cogroup(by(one)).applyInArrow(_second(length, ranges, part), BLOCK), f"starts-{part}"))
+        own = answered(by(blobs).cogroup(by(said)).applyInArrow(_second(length, ranges, part), BLOCK), f"starts-{part}")
+        replies = replies.unionByName(own) if part else own
+        said = replies.where(F.col("kind") == STATE)
     columns = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     columns = T.StructType([*columns.fields, *(docs.select(rest).schema.fields if carry else [])])
     out = by(blobs).cogroup(by(replies)).applyInArrow(_last(length, ranges, whole), columns)

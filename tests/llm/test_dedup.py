@@ -35,6 +35,63 @@ def test_suffix_dedup_over_segments(spark, monkeypatch):
     assert got == {rows[i][0]: w for i, w in want.items()}
 
 
+def suffix_passes(rows, mixed, groups=3, buckets=5, length=50):
+    """The passes of ``suffix_dedup`` in this process; ``mixed`` orders a group's blobs anew for each pass."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import zstandard
+
+    def blob(own):
+        part, sink = pa.table({"key": [i for i, _ in own], "doc_id": [i for i, _ in own], "text": [t for _, t in own]}), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, part.schema) as out:
+            out.write_table(part)
+        return zstandard.ZstdCompressor().compress(sink.getvalue().to_pybytes())
+
+    blobs = [[blob(rows[i : i + 2]) for i in range(2 * g, len(rows), 2 * groups)] for g in range(groups)]
+
+    def sent(step, *replies):
+        of = lambda g: [r.filter(pc.equal(r["grp"], g)) for r in replies]
+        return pa.concat_tables([step((pa.scalar(g),), pa.table({"grp": [g] * len(b), "blob": mixed(b)}), *of(g)) for g, b in enumerate(blobs)])
+
+    def answered(blocks):
+        own = [blocks.filter(pc.equal(blocks["bucket"], b)) for b in sorted(set(blocks["bucket"].to_pylist()))]
+        return pa.concat_tables([suffix_dedup._answer((x["kind"][0], x["bucket"][0]), x) for x in own])
+
+    replies = answered(sent(suffix_dedup._first(length, buckets)))
+    for part in range(suffix_dedup.PARTS):
+        replies = pa.concat_tables([replies, answered(sent(suffix_dedup._second(length, buckets, part), replies))])
+    got = sent(suffix_dedup._last(length, buckets, False), replies).to_pylist()
+    return {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got}
+
+
+@pytest.fixture
+def repeats():
+    """Texts that share passages, with the same beginnings before different ends, and what is to be cut."""
+    rng = np.random.default_rng(2)
+    prose = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    shared = [prose(n) for n in (30, 49, 55, 90, 400)]
+    rows = [(int(i), "".join(shared[j] + prose(int(rng.integers(0, 40))) for j in rng.integers(0, 5, 4))) for i in rng.permutation(24)]
+    want = brute.suffix_cut([(i, t.encode()) for i, t in rows], 50)
+    return rows, {rows[i][0]: w for i, w in want.items()}
+
+
+def test_suffix_dedup_makes_runs_twice(monkeypatch, repeats):
+    rows, want = repeats
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 1 << 18)
+    calls, segment = [], suffix_dedup._segment
+    monkeypatch.setattr(suffix_dedup, "_segment", lambda *args: calls.append(1) or segment(*args))
+    assert suffix_passes(rows, lambda blobs: blobs) == want
+    assert len(calls) == 2 * 3  # a segment in each of three groups
+
+
+def test_suffix_dedup_whatever_order_blobs_arrive_in(monkeypatch, repeats):
+    rows, want = repeats
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 211)
+    rng = np.random.default_rng(3)
+    for _ in range(5):
+        assert suffix_passes(rows, lambda blobs: [blobs[i] for i in rng.permutation(len(blobs))]) == want
+
+
 def test_simhash_components(docs, rows):
     got = simhash.simhash_components(docs).collect()
     fps = [brute.simhash(t, 4) for _, t, _ in rows]
